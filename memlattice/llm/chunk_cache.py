@@ -1,0 +1,87 @@
+"""Split texts into independently tokenizable chunks and remember their ids.
+
+A byte-level pre-tokenizer never joins a word to what stands before the single
+space in front of it, so text with plain single separators falls apart into
+`` word`` chunks whose ids can be looked up.  Any other text takes the whole-text
+path given by the caller.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+class TwoGenerations:
+    """Values by key; the generation before the last is forgotten, which bounds memory."""
+
+    def __init__(self, limit: int = 300_000, longest: int = 64):
+        self.limit, self.longest = limit, longest
+        self.now: dict = {}
+        self.older: dict = {}
+
+    def missing(self, keys) -> list:
+        """The keys without a value, after bringing older ones forward."""
+        if len(self.now) > self.limit:
+            self.older, self.now = {k: v for k, v in self.now.items() if len(k) <= self.longest}, {}
+        now, older, out = self.now, self.older, []
+        for key in keys:
+            if key not in now:
+                value = older.get(key)
+                if value is None:
+                    out.append(key)
+                else:
+                    now[key] = value
+        return out
+
+
+def plain_spacing(text: str) -> bool:
+    """Whether words are parted by one space or one line feed each, with none at the ends."""
+    return not (
+        text[0] in " \n"
+        or text[-1] in " \n"
+        or "  " in text
+        or "\n\n" in text
+        or " \n" in text
+        or "\n " in text
+        or _OTHER_SPACE.search(text)
+    )
+
+
+class ChunkEncoder:
+    """Token ids of whole texts as packed little-endian unsigned 32-bit integers.
+
+    ``chunks`` encodes a list of chunks, each taken by itself; ``wholes`` a list of
+    any texts.  A line feed alone must be one id.  Null and empty texts give no ids.
+    """
+
+    def __init__(self, chunks: Callable[[list[str]], list[bytes]], wholes: Callable[[list[str]], list[bytes]]):
+        self.chunks, self.wholes, self.known = chunks, wholes, TwoGenerations()
+        (line_feed,) = chunks(["\n"])
+        if len(line_feed) != 4:
+            raise ValueError("the vocabulary has no single id for a line feed")
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        plain: dict[int, list[str]] = {}
+        other: list[int] = []
+        seen: set[str] = set()
+        for at, text in enumerate(texts):
+            if text:
+                if plain_spacing(text):
+                    plain[at] = words = text.replace("\n", " \n").split(" ")
+                    words[0] = "\n" + words[0]
+                    seen.update(words)
+                else:
+                    other.append(at)
+        absent = self.known.missing(seen)
+        found = self.chunks([w if w[0] == "\n" else " " + w for w in absent])
+        now = self.known.now
+        now.update(zip(absent, found, strict=True))
+        out = [b""] * len(texts)
+        for at, words in plain.items():
+            out[at] = b"".join(map(now.__getitem__, words))[4:]
+        for at, packed in zip(other, self.wholes([texts[at] for at in other]), strict=True):
+            out[at] = packed
+        return out
