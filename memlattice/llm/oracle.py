@@ -10,7 +10,7 @@ def _shingles(table: str, key: str) -> str:
     """Distinct five-word shingles, or the whole sequence of fewer words."""
     return f"""
         SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5
-            THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))
+            THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
         FROM (SELECT {key}, {_WORDS} AS w FROM (SELECT {key}, {_LOWER} AS t FROM {table}))"""
 
