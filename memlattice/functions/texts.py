@@ -1,0 +1,70 @@
+"""Columns over text: tokens, trigrams, folding, redaction."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Mapping
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Everything that parts words, spelled out so that every engine agrees.
+NOT_WORD = r"[^\p{L}\p{N}_]+"
+
+
+def tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), NOT_WORD, -1), lambda t: t != "")
+
+
+def folded(text: Column) -> Column:
+    """White space runs as one space, ends trimmed, case kept."""
+    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct trigrams of lower-cased words, each padded by two blanks before and one after."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
+
+
+def trigram_similarity(a: Column, b: Column) -> Column:
+    """Shared over all trigrams; 0 when neither has any."""
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union > 0, shared / union).otherwise(0.0)
+
+
+def token_estimate(text: Column) -> Column:
+    """A quarter of the characters, rounded up."""
+    return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
+
+
+#: Label and pattern, in order (public formats).
+REDACTIONS: Mapping[str, str] = {
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "aws_access_key": r"AKIA[0-9A-Z]{16}",
+    "github_token": r"gh[pousr]_[A-Za-z0-9]{36}",
+    "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    "stripe_key": r"sk_live_[A-Za-z0-9]{24,}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}",
+    "password": r"(password|passwd|secret|token|api_key)[ ]*[:=][ ]*[^ \n]{8,}",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]*[A-Za-z0-9]",
+    "ipv4": r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}",
+    "card": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}",
+}
+
+
+def redacted(text: Column, rules: Mapping[str, str] = REDACTIONS) -> Column:
+    out = text
+    for label, pattern in rules.items():
+        out = F.regexp_replace(out, pattern, f"[REDACTED:{label}]")
+    return out
+
+
+def glob_like(pattern: str) -> str:
+    return pattern.replace("*", "%")
+
+
+def ceil_quarter(n: int) -> int:
+    return math.ceil(n / 4)
