@@ -14,18 +14,30 @@ from memlattice.functions.times import micros
 HOUR = 3_600_000_000
 
 
-def nearest_in_time(units: DataFrame, keys: Sequence[str], at: str, k: int) -> DataFrame:
+def nearest_in_time(units: DataFrame, keys: Sequence[str], at: str, k: int, block_hours: int = 24) -> DataFrame:
     """Each unit's ``k`` nearest in time among units of its keys, both ways, itself left out.
 
     One sort gives both directions: the rows around a unit in (time, id) order hold
-    its ``k`` before and its ``k`` after, so no row is joined with another.  Columns:
+    its ``k`` before and its ``k`` after, so no row is joined with another.  A key's
+    time is cut into blocks that are sorted apart; each block gets the ``k`` rows
+    before and after it, found among the ends of all blocks, which are few.  Columns:
     ``unit_id``, ``other_id``, ``hours``, ``rank``.
     """
-    order = Window.partitionBy(*keys).orderBy(at, "unit_id")
-    other = F.struct(micros(F.col(at)).alias("t"), F.col("unit_id").alias("u"))
-    sides = F.concat(F.collect_list(other).over(order.rowsBetween(-k, -1)), F.collect_list(other).over(order.rowsBetween(1, k)))
-    own = micros(F.col(at))
-    near = units.select("unit_id", own.alias("t"), sides.alias("o")).withColumn("o", F.explode("o"))
+    keys = list(keys)
+    rows = units.select(*keys, "unit_id", micros(F.col(at)).alias("t")).withColumn("block", F.floor(F.col("t") / (block_hours * HOUR)))
+    block = Window.partitionBy(*keys, "block")
+    up, down = block.orderBy("t", "unit_id"), block.orderBy(F.desc("t"), F.desc("unit_id"))
+    ends = rows.withColumn("first", F.row_number().over(up)).withColumn("last", F.row_number().over(down)).where((F.col("first") <= k) | (F.col("last") <= k))
+    key = Window.partitionBy(*keys).orderBy("t", "unit_id")
+    own = F.struct("t", "unit_id")
+    none = F.array().cast("array<struct<t:bigint,unit_id:" + units.schema["unit_id"].dataType.simpleString() + ">>")
+    before = F.when(F.col("first") == 1, F.collect_list(own).over(key.rowsBetween(-k, -1))).otherwise(none)
+    after = F.when(F.col("last") == 1, F.collect_list(own).over(key.rowsBetween(1, k))).otherwise(none)
+    halo = ends.select(*keys, "block", F.concat(before, after).alias("o")).select(*keys, "block", F.explode("o").alias("o"))
+    placed = rows.select(*keys, "block", "unit_id", "t", F.lit(True).alias("asks")).unionByName(halo.select(*keys, "block", "o.unit_id", "o.t", F.lit(False).alias("asks")))
+    other = F.struct(F.col("t"), F.col("unit_id").alias("u"))
+    sides = F.concat(F.collect_list(other).over(up.rowsBetween(-k, -1)), F.collect_list(other).over(up.rowsBetween(1, k)))
+    near = placed.withColumn("o", sides).where("asks").select("unit_id", "t", "o").withColumn("o", F.explode("o"))
     near = near.select("unit_id", F.col("o.u").alias("other_id"), F.abs(F.col("o.t") - F.col("t")).alias("d"))
     rank = F.row_number().over(Window.partitionBy("unit_id").orderBy("d", "other_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("unit_id", "other_id", (F.col("d") / HOUR).alias("hours"), "rank")

@@ -103,10 +103,11 @@ def test_p95(spark):
 
 def test_nearest_in_time(spark):
     rows = spark.createDataFrame([(i, 0, datetime(2024, 1, 1, h)) for i, h in enumerate((0, 1, 3, 7, 7, 15))], "unit_id int, k int, ts timestamp")
-    near = {}
-    for r in graph.nearest_in_time(rows, ["k"], "ts", 2).orderBy("unit_id", "rank").collect():
-        near.setdefault(r.unit_id, []).append(r.other_id)
-    assert near == {0: [1, 2], 1: [0, 2], 2: [1, 0], 3: [4, 2], 4: [3, 2], 5: [3, 4]}
+    for hours in (1, 2, 5, 24):
+        near = {}
+        for r in graph.nearest_in_time(rows, ["k"], "ts", 2, hours).orderBy("unit_id", "rank").collect():
+            near.setdefault(r.unit_id, []).append(r.other_id)
+        assert near == {0: [1, 2], 1: [0, 2], 2: [1, 0], 3: [4, 2], 4: [3, 2], 5: [3, 4]}
 
 
 def test_batch_links_cross_blocks(spark):
