@@ -85,6 +85,9 @@ def entity_expansion(seeds: DataFrame, postings: DataFrame, fanout: int = DEFAUL
     return found.join(seeds.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti")
 
 
+_shared = entity_expansion
+
+
 def link_expansion(seeds: DataFrame, links: DataFrame, both: bool = True, keep_seeds: bool = False) -> DataFrame:
     """Units linked to a query's seeds with their strongest link; outgoing links only unless ``both``."""
     ways = links.select(F.col("from_unit").alias("seed"), F.col("to_unit").alias("unit_id"), "weight")
@@ -107,6 +110,12 @@ def graph_merge(entities: DataFrame, semantic_links: DataFrame, causal_links: Da
     return ranked(merged, ["query_id"], F.desc("score"), F.asc("unit_id"), most=most).withColumn("arm", F.lit("graph"))
 
 
+def graph_arm(seeds: DataFrame, postings: DataFrame, semantic_links: DataFrame, causal_links: DataFrame, most: int, entity_expansion: bool = True, fanout: int = DEFAULT.entity_fanout) -> DataFrame:
+    """The graph arm from its seeds; without ``entity_expansion``, its costly part, links alone decide."""
+    shared = _shared(seeds, postings, fanout) if entity_expansion else seeds.select("query_id", "unit_id", F.lit(0).alias("shared")).where("false")
+    return graph_merge(shared, link_expansion(seeds, semantic_links), link_expansion(seeds, causal_links, both=False, keep_seeds=True), most)
+
+
 def coverage(pool: DataFrame, keys: Sequence[str], bucket: Column, limit: int, similarity: str = "similarity") -> DataFrame:
     """Picks spread over buckets: the best of each, then the second of each, until ``limit``.
 

@@ -167,6 +167,12 @@ def _(t):
     return merged.select("query_id", "unit_id", "score")
 
 
+@query("r11_graph_without_entities", f"SELECT query_id, unit_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS r FROM (SELECT query_id, unit_id, round(coalesce(max(s), 0) + coalesce(max(c), 0), 6) AS score FROM (SELECT query_id, unit_id, weight AS s, NULL::DOUBLE AS c FROM {_SEM} UNION ALL SELECT query_id, unit_id, NULL, weight FROM {_CAUSE}) GROUP BY 1, 2)) WHERE r <= 50")
+def _(t):
+    arm = retrieval.graph_arm(views.seeds(t), views.postings(t), _links(t, "semantic"), _links(t, "caused_by"), 50, entity_expansion=False)
+    return arm.select("query_id", "unit_id", "score")
+
+
 @query("r10_graph_score", "SELECT n, round(tanh(0.5 * n), 6) AS score FROM (SELECT c_nationkey AS n FROM customer GROUP BY 1)")
 def _(t):
     return t.customer.select(F.col("c_nationkey").alias("n")).distinct().select("n", F.round(graph_score(F.col("n"), F.lit(0.0), F.lit(0.0)), 6).alias("score"))
