@@ -118,3 +118,10 @@ def test_line_edges(docs, empty):
     rows = line_dedup.dedup(frame).collect()
     assert sorted((r.doc_id, r.n_removed) for r in rows) == [(0, 0), (1, 2), (1, 2), (2, 0), (3, 0)]
     assert line_dedup.dedup(empty).count() == 0
+
+
+def test_a_passage_goes_whatever_its_lines_do_elsewhere(docs):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    texts = [f"one\n{a}\n{b}\n{c}\n{d}\nlast", f"alone\n{b}\nby itself", f"two\n{a}\n{b}\n\n{c}\n{d}", f"three\n{a}\n{b}\ncut short", f"short line\n{a}\n{b}\n{c}\n{d}", "short line\nanother"]
+    rows = {r.doc_id: r.text for r in line_dedup.dedup(docs(*texts)).collect()}
+    assert rows == {0: texts[0], 1: texts[1], 2: "two", 3: "three\ncut short", 4: "short line", 5: texts[5]}
