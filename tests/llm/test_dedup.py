@@ -125,3 +125,9 @@ def test_a_passage_goes_whatever_its_lines_do_elsewhere(docs):
     texts = [f"one\n{a}\n{b}\n{c}\n{d}\nlast", f"alone\n{b}\nby itself", f"two\n{a}\n{b}\n\n{c}\n{d}", f"three\n{a}\n{b}\ncut short", f"short line\n{a}\n{b}\n{c}\n{d}", "short line\nanother"]
     rows = {r.doc_id: r.text for r in line_dedup.dedup(docs(*texts)).collect()}
     assert rows == {0: texts[0], 1: texts[1], 2: "two", 3: "three\ncut short", 4: "short line", 5: texts[5]}
+
+
+def test_a_passage_goes_behind_any_line(docs):
+    texts = ["\n".join([f"before {i} it", *PASSAGE, f"after {i} it"]) for i in range(200)]
+    rows = {r.doc_id: r.text for r in line_dedup.dedup(docs(*texts)).collect()}
+    assert rows == {0: texts[0]} | {i: f"before {i} it\nafter {i} it" for i in range(1, 200)}
