@@ -205,6 +205,20 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     return edges.union(dealt.mapInArrow(_tiles, "a long, b long"))
 
 
+def _classes(docs: DataFrame, words: int) -> DataFrame:
+    """``classify`` with ``root``, the fingerprint that stands for the component."""
+    spark = docs.sparkSession
+    arrow_rows(spark)
+    printed = materialized(fingerprints(docs, words), "fingerprints")
+    first = printed.groupBy(F.col("_fingerprint").alias("fp")).agg(F.min("doc_id").alias("first"))
+    roots = connected(links(first.select("fp")))
+    arrow_rows(spark)
+    first = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = first.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = first.join(named, "root").select(F.col("fp").alias("_fingerprint"), "component_id", "root")
+    return printed.join(named, "_fingerprint").select("doc_id", "_text", "_fingerprint", "component_id", "root")
+
+
 def classify(docs: DataFrame, words: int = 3) -> DataFrame:
     """``doc_id``, ``_text`` (hash of the text), ``_fingerprint``, ``component_id`` for every row of ``docs``.
 
@@ -214,22 +228,14 @@ def classify(docs: DataFrame, words: int = 3) -> DataFrame:
     the search.  Repeated rows share their component; a null doc_id never names one
     unless its component has no other.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    printed = materialized(fingerprints(docs, words), "fingerprints")
-    first = printed.groupBy(F.col("_fingerprint").alias("fp")).agg(F.min("doc_id").alias("first"))
-    roots = connected(links(first.select("fp")))
-    arrow_rows(spark)
-    first = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = first.join(named, "root").select(F.col("fp").alias("_fingerprint"), "component_id")
-    return printed.join(named, "_fingerprint").select("doc_id", "_text", "_fingerprint", "component_id")
+    return _classes(docs, words).drop("root")
 
 
 def dedup(docs: DataFrame, words: int = 3) -> DataFrame:
     """The documents that stay: of each component the row first by doc_id, then by hash of the text."""
-    classes = classify(docs, words)
-    kept = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id"), F.col("_text"))).alias("k")).select("k.*")
+    classes = _classes(docs, words)
+    # By root and not by component_id, which components share where documents share an id or have none.
+    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id"), F.col("_text"))).alias("k")).select("k.*")
     kept = materialized(kept.withColumnsRenamed({"doc_id": "_id", "_text": "_hash"}), "kept")
     marked = docs.withColumn("_text", F.xxhash64("text"))
     stay = marked.join(kept, marked.doc_id.eqNullSafe(kept._id) & (marked._text == kept._hash), "left_semi")

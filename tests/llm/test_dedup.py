@@ -81,6 +81,12 @@ def test_simhash_edges(docs, empty, spark):
     assert simhash.classify(empty).count() == 0
 
 
+def test_unrelated_texts_with_null_or_equal_ids_stay(docs):
+    frame = docs(*(" ".join(f"w{i}x{k}" for k in range(40)) for i in range(6)))
+    frame = frame.selectExpr("case when doc_id < 3 then null else 7L end as doc_id", "text", "lang", "source", "n_chars")
+    assert sorted(r.text for r in simhash.dedup(frame.union(frame)).collect()) == sorted(r.text for r in frame.collect())
+
+
 PASSAGE = ["P one two three four five six seven eight nine ten eleven twelve thirteen", "Q one two three four five six seven eight nine ten eleven twelve thirteen"]
 
 
