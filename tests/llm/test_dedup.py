@@ -126,6 +126,37 @@ def test_line_edges(docs, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def without_repeats(texts):
+    """The lines of each text (by place in the list) that stay, by comparing all windows of two lines and all long lines."""
+    split = [[(p, line) for p, line in enumerate(t.split("\n")) if line] for t in texts]
+    count = lambda line: line.count(" ") + 1
+    first, stay = {}, []
+    for d, lines in enumerate(split):
+        marked = []
+        for i in range(len(lines) - 1):
+            at = first.setdefault((lines[i][1], lines[i + 1][1]), (d, i))
+            marked.append(at != (d, i) and not (at[0] == d and i < at[1] + 2))
+        gone, i = set(), 0
+        while i < len(marked):
+            j = i
+            while j < len(marked) and marked[j]:
+                j += 1
+            if j > i and sum(count(line) for _, line in lines[i : j + 1]) >= 8:
+                gone |= set(range(lines[i][0], lines[j][0] + 1))
+            i = j + 1
+        for i, (p, line) in enumerate(lines):
+            if count(line) >= 50 and first.setdefault(line, (d, i)) != (d, i):
+                gone.add(p)
+        stay.append("\n".join(line for p, line in enumerate(texts[d].split("\n")) if p not in gone))
+    return stay
+
+
+def test_line_query_against_all_windows(spark, sf_dir, corpus):
+    rows = {r.doc_id: r.text for r in queries.op3_line_chunks(spark, sf_dir).collect()}
+    ids = sorted(i for i in corpus if corpus[i] is not None)
+    assert [rows[i] for i in ids] == without_repeats([corpus[i] for i in ids])
+
+
 def test_a_passage_goes_whatever_its_lines_do_elsewhere(docs):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
     texts = [f"one\n{a}\n{b}\n{c}\n{d}\nlast", f"alone\n{b}\nby itself", f"two\n{a}\n{b}\n\n{c}\n{d}", f"three\n{a}\n{b}\ncut short", f"short line\n{a}\n{b}\n{c}\n{d}", "short line\nanother"]
@@ -137,3 +168,15 @@ def test_a_passage_goes_behind_any_line(docs):
     texts = ["\n".join([f"before {i} it", *PASSAGE, f"after {i} it"]) for i in range(200)]
     rows = {r.doc_id: r.text for r in line_dedup.dedup(docs(*texts)).collect()}
     assert rows == {0: texts[0]} | {i: f"before {i} it\nafter {i} it" for i in range(1, 200)}
+
+
+def test_pipeline_stages_against_brute_force(spark, sf_dir, corpus):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    ids = sorted(i for i in corpus if corpus[i] is not None)
+    lines = corpus_pipeline.materialized(corpus_pipeline.drop_repeated_lines(spark, docs, sf_dir), "t")
+    expected = without_repeats([corpus[i] for i in ids])
+    assert dict(lines.select("doc_id", "text").collect()) == dict(zip(ids, expected, strict=True))
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, lines, sf_dir).collect()}
+    assert kept == set(classes(ids, [fingerprint(t) for t in expected]))
