@@ -6,8 +6,9 @@ Layout of a dataset below one folder:
   whole corpus.  Codes are canonical: by length, then id.
 * ``parts``: ``part``, ``n_ids`` — ids in each ordered part of the corpus.
 * ``blocks``: one row a block of whole documents: ``part``, ``start`` (ids of the
-  part before it), ``doc_ids``, ``lengths`` (ids of each document), ``bits`` and
-  ``checkpoints``, the bits between every ``STEP`` ids as unsigned 16-bit integers.
+  part before it), ``n_ids``, ``doc_ids``, ``lengths`` (ids of each document),
+  ``bits`` and ``checkpoints``, the bits between every ``STEP`` ids as unsigned
+  16-bit integers.
 
 Blocks decode independently, and within a block all checkpoints decode side by
 side through one table of ``2 ** limit`` entries.
@@ -16,6 +17,7 @@ side through one table of ``2 ** limit`` entries.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -27,12 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlattice.llm.chunk_cache import ChunkEncoder, TwoGenerations
 from memlattice.llm.common import remove, scratch
+from memlattice.llm.word_ids import KnownWords, WordEncoder, binaries, grouped
 
 STEP = 64
 BLOCK_IDS = 1 << 16
 LIMIT = 20
+#: Bytes of ids that are counted at a time.
+COUNTED_BYTES = 8 << 20
+#: Chunks that are one pre-token: letters, digits or marks, after a space or none.
+ONE_PIECE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-/:-@\[-`{-~]+)").fullmatch
+BLOCK = "part int, start long, n_ids long, doc_ids array<long>, lengths array<int>, bits binary, checkpoints binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -116,74 +123,73 @@ class Code:
         return out.reshape(-1)[:n]
 
 
+def byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for.
+
+    Visible Latin-1 characters stand for their own byte, and the characters from
+    U+0100 on for the other bytes in order.
+    """
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
 @lru_cache(maxsize=2)
-def _library(path: str) -> ChunkEncoder:
+def library(path: str) -> WordEncoder:
+    """The tokenizers library's ids (``add_special_tokens=False``), whole texts by their distinct words."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    bases = TwoGenerations()
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def wholes(texts: list[str]) -> list[np.ndarray]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    marks = dict(zip(".,", encode([".", ","]), strict=True))
-
-    def chunks(texts: list[str]) -> list[bytes]:
-        # A letter and a mark after it are never one pre-token.
-        split = [(t[:-1], marks[t[-1]]) if t[-1] in marks and len(t) > 1 and t[-2].isalpha() else (t, b"") for t in texts]
-        absent = bases.missing({base for base, _ in split})
-        bases.now.update(zip(absent, encode(absent), strict=True))
-        return [bases.now[base] + mark for base, mark in split]
-
-    return ChunkEncoder(chunks, encode)
-
-
-def _blocks(tokenizer: str, end_id: int, block_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["part", "start", "doc_ids", "lengths", "ids"]
-
+        return [np.array(e.ids, dtype=np.uint32) for e in found]
+
+    (line_feed,) = wholes(["\n"])[0].tolist()
+    # The model takes bytes as the visible characters that the byte-level pre-tokenizer writes for them.
+    shown = {byte: char for char, byte in byte_characters().items()}
+    merges = tokenizer.model.tokenize
+
+    def words(chunks: list[str]) -> list[bytes]:
+        """A chunk of one pre-token goes to the model itself, any other through the whole tokenizer."""
+        single = [c for c in chunks if ONE_PIECE(c)]
+        ids, ends = [], [0]
+        for piece in "\n".join(single).encode().decode("latin-1").translate(shown).split(shown[10]) if single else ():
+            ids += [t.id for t in merges(piece)]
+            ends.append(len(ids))
+        packed = np.array(ids, dtype="<u4").tobytes()
+        out = {c: packed[4 * a : 4 * b] for c, a, b in zip(single, ends, ends[1:], strict=False)}
+        rest = [c for c in chunks if c not in out]
+        out.update((c, found.astype("<u4").tobytes()) for c, found in zip(rest, wholes(rest), strict=True))
+        return [out[c] for c in chunks]
+
+    return WordEncoder(KnownWords(words), wholes, line_feed, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()))
+
+
+def _tokenized(tokenizer: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _library(tokenizer), TaskContext.get().partitionId()
-        end, start = np.array([end_id], dtype="<u4").tobytes(), 0
-        held: list[tuple[int, bytes]] = []
-        size = 0
-
-        def block() -> pa.RecordBatch:
-            lengths = [len(p) >> 2 for _, p in held]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part], pa.int32()),
-                    pa.array([start], pa.int64()),
-                    pa.array([[d for d, _ in held]], pa.list_(pa.int64())),
-                    pa.array([lengths], pa.list_(pa.int32())),
-                    pa.array([_narrow(b"".join(p for _, p in held))], pa.binary()),
-                ],
-                names=names,
-            )
-
-        for batch in batches:
-            for doc_id, packed in zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist()), strict=True):
-                held.append((doc_id, packed + end))
-                size += (len(packed) >> 2) + 1
-                if size >= block_ids:
-                    yield block()
-                    start, size, held = start + size, 0, []
-        if held:
-            yield block()
+        encoder = library(tokenizer)
+        for batch in grouped(batches, 1):
+            flat, ends = encoder(batch.column(1))
+            flat = np.insert(flat, ends[1:], end_id)
+            ends = ends + np.arange(len(ends))
+            width = _narrowest(flat)
+            packed = binaries(flat.astype(width), ends)
+            sizes = pa.array(np.diff(ends), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, packed], names=["doc_id", "tie", "n", "ids"])
 
     return run
 
 
-def _narrow(packed: bytes) -> bytes:
-    """Ids of less than 65,536 take two bytes; a first byte tells the width."""
-    ids = np.frombuffer(packed, dtype="<u4")
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + packed
+def _narrowest(ids: np.ndarray) -> str:
+    return "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
 
 
-def _widen(held: bytes) -> np.ndarray:
-    return np.frombuffer(held, dtype="<u2" if held[0] == 2 else "<u4", offset=1).astype(np.int64)
+def _widened(packed: pa.Array, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Each value's ids; its length and their number tell their width."""
+    for held, n in zip(packed.to_pylist(), sizes.tolist(), strict=True):
+        yield np.frombuffer(held, dtype="<u2" if len(held) == 2 * n else "<u4")
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, limit: int = LIMIT, block_ids: int = BLOCK_IDS) -> None:
@@ -192,51 +198,60 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, limit:
     ``end_id`` follows each document; null and empty texts have that id alone.
     Rows with equal doc_id are all written, ordered by the hash of their text;
     null doc_ids come first.  An empty table gives a dataset without blocks.
-    Ids are tokenized once, into a table in the shared folder that goes when the
-    files are written; only the counts (a row for each id of the vocabulary) and
-    the totals of the parts (a row for each task) come to the driver.
+    Texts are tokenized where they lie, into a table in the shared folder that goes
+    when the files are written, and ids, not texts, are shuffled into order; only
+    the counts (a row for each id of the vocabulary) and the totals of the parts (a
+    row for each task) come to the driver.
     """
     spark = docs.sparkSession
     stage = scratch(spark, "ids")
-    ordered = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("_tie"))
-        .repartitionByRange(F.col("doc_id"), F.col("_tie"))
-        .sortWithinPartitions("doc_id", "_tie")
-        .select("doc_id", "text")
-    )
-    raw = "part int, start long, doc_ids array<long>, lengths array<int>, ids binary"
-    ordered.mapInArrow(_blocks(tokenizer, end_id, block_ids), raw).write.option("compression", "zstd").parquet(stage)
-    del ordered
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffled texts before more is written
-    blocks = spark.read.schema(raw).parquet(stage)
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
+    raw = "doc_id long, tie long, n int, ids binary"
+    source.mapInArrow(_tokenized(tokenizer, end_id), raw).write.option("compression", "zstd").parquet(stage)
+    held = spark.read.schema(raw).parquet(stage)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for held in batch.column(0).to_pylist():
-                found = np.bincount(_widen(held), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+        for batch in grouped(batches, 1, COUNTED_BYTES):
+            found = np.bincount(np.concatenate(list(_widened(batch.column(1), batch.column(0).to_numpy()))), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["token_id", "n"])
 
-    counted = blocks.select("ids").mapInArrow(count, "token_id int, n long").groupBy("token_id").agg(F.sum("n").alias("n")).toPandas()
+    counted = held.select("n", "ids").mapInArrow(count, "token_id int, n long").groupBy("token_id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(counted["token_id"].max()) + 1 if len(counted) else 1, dtype=np.int64)
     counts[counted["token_id"]] = counted["n"]
     lengths = code_lengths(counts, limit)
     used = np.flatnonzero(lengths)
     code = spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "token_id int, length int")
     code.coalesce(1).write.parquet(f"{folder}/code")
-    blocks.groupBy("part").agg(F.max(F.col("start") + F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n_ids")).coalesce(1).write.parquet(f"{folder}/parts")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        huffman = Code(lengths, limit)
+        huffman, part = Code(lengths, limit), TaskContext.get().partitionId()
+        start, size, docs_held, sizes, ids = 0, 0, [], [], []
+
+        def block() -> pa.RecordBatch:
+            bits, marks = huffman.encode(np.concatenate(ids).astype(np.int64))
+            columns = [pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.array([docs_held], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([bits], pa.binary()), pa.array([marks], pa.binary())], names=[f.split()[0] for f in BLOCK.split(", ")])
+
         for batch in batches:
-            both = [huffman.encode(_widen(held)) for held in batch.column(4).to_pylist()]
-            packed = [pa.array([x[k] for x in both], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *packed], names=[*batch.schema.names[:4], "bits", "checkpoints"])
+            for doc_id, n, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _widened(batch.column(2), batch.column(1).to_numpy()), strict=True):
+                docs_held.append(doc_id)
+                sizes.append(n)
+                ids.append(found)
+                size += n
+                if size >= block_ids:
+                    yield block()
+                    start, size, docs_held, sizes, ids = start + size, 0, [], [], []
+        if docs_held:
+            yield block()
 
-    blocks.mapInArrow(coded, raw.replace("ids binary", "bits binary, checkpoints binary")).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    ordered = held.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n", "ids")
+    ordered.mapInArrow(coded, BLOCK).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    blocks = spark.read.schema(BLOCK).parquet(f"{folder}/blocks")
+    blocks.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).coalesce(1).write.parquet(f"{folder}/parts")
     remove(spark, stage)
 
 
@@ -263,7 +278,7 @@ def read(spark: SparkSession, folder: str, limit: int = LIMIT) -> DataFrame:
                     names=["doc_id", "start", "token_ids"],
                 )
 
-    blocks = spark.read.schema("part int, start long, doc_ids array<long>, lengths array<int>, bits binary, checkpoints binary").parquet(f"{folder}/blocks")
+    blocks = spark.read.schema(BLOCK).parquet(f"{folder}/blocks").drop("n_ids")
     return blocks.mapInArrow(decoded, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("token_ids", T.BinaryType())]))
 
 

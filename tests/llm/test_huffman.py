@@ -1,11 +1,14 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from memlattice.llm import huffman, queries
 from memlattice.llm.common import scratch
+from memlattice.llm.word_ids import grouped
 
 
 @pytest.mark.parametrize("n,top,limit", [(1, 1, 20), (5, 3, 20), (3000, 700, 10), (60_000, 20_000, 16)])
@@ -42,7 +45,6 @@ def test_query_equals_the_library(spark, sf_dir, corpus):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path(queries.TOKENIZER))
-    library.encode_special_tokens = True
     rows = {r.doc_id: r for r in queries.op9_huffman(spark, sf_dir).collect()}
     start = 0
     for doc_id in sorted(corpus):
@@ -52,6 +54,27 @@ def test_query_equals_the_library(spark, sf_dir, corpus):
         start += len(ids)
 
 
+def test_any_text_equals_the_library():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(P.path(queries.TOKENIZER))
+    draw = random.Random(4)
+    parts = ["a", "don't", " ", " ", "  ", "\n", "\t", "'s", "é", "12", "!", ",", "theing", "\r\n", "漢字", "😀", "\x1c", "\u2003", "<|endoftext|>", "<|endoftext", "\x01", "«mot»", "ª"]
+    texts = ["a <|endoftext|> b", None, "", *("".join(draw.choice(parts) for _ in range(draw.randint(0, 40))) for _ in range(3000))]
+    flat, ends = huffman.library(P.path(queries.TOKENIZER))(pa.array(texts, pa.string()))
+    assert flat[: ends[1]].tolist() == [64, 220, 50256, 275]
+    for k, text in enumerate(texts):
+        assert flat[ends[k] : ends[k + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
+def test_groups_keep_rows_in_order():
+    rows = [None, "ab", "", "c" * 50, "d", "e" * 9, None]
+    batches = pa.table({"k": range(7), "t": pa.array(rows, pa.string())}).to_batches(max_chunksize=3)
+    made = list(grouped(iter(batches), 1, 10))
+    assert pa.Table.from_batches(made)["t"].to_pylist() == rows
+    assert all(sum(len(t or "") for t in b["t"].to_pylist()) <= 10 or b.num_rows == 1 for b in made)
+
+
 def test_edges(spark, docs, empty):
     frame = docs(None, "", "one two\u2003three  four", "y" * 200_000)
     frame = frame.union(frame.where("doc_id = 2")).withColumnRenamed("lang", "start")
