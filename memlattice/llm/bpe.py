@@ -20,7 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlattice.llm.chunk_cache import ChunkEncoder, TwoGenerations
+from memlattice.llm.word_ids import KnownWords, TwoGenerations, WordEncoder, binaries, grouped
+
+
+#: Rows of ids and bytes that go back to Spark at a time.
+ROWS_A_BATCH = 256
 
 
 class RankQueue:
@@ -61,7 +65,7 @@ class RankQueue:
 
 
 class ByteBPE:
-    """A rank vocabulary: ``encode`` gives packed ids, ``decode`` the bytes of ids.
+    """A rank vocabulary: ``encode`` gives the ids of a group of texts, ``decode`` the bytes of ids.
 
     A pre-token that is itself a token becomes that token; otherwise its lowest
     ranked adjacent pair, leftmost first, is merged until no pair has a rank.
@@ -88,7 +92,10 @@ class ByteBPE:
                 self.byte_pair[token[0], token[1]] = rank
         self.split = regex.compile(pattern).findall
         self.pieces = TwoGenerations()
-        self.encode = ChunkEncoder(self._texts, self._texts)
+        line_feed = ranks[b"\n"]
+        self.encode = WordEncoder(KnownWords(self._texts), lambda texts: [np.frombuffer(ids, dtype="<u4") for ids in self._texts(texts)], line_feed)
+        self.flat = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
+        self.ends = np.cumsum([0, *map(len, self.tokens)], dtype=np.int64)
 
     def _texts(self, texts: list[str]) -> list[bytes]:
         split = [self.split(text) for text in texts]
@@ -183,9 +190,19 @@ class ByteBPE:
         packed = tokens[kept].astype("<u4").tobytes()
         return [packed[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
 
-    def decode(self, ids: list[int]) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+    def sizes(self, ids: np.ndarray) -> np.ndarray:
+        """The number of bytes of each id."""
+        return self.ends[ids + np.int64(1)] - self.ends[ids]
+
+    def decode(self, ids: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+        """The bytes of ids, as an array; ``step`` ids at a time."""
+        found = [np.zeros(0, np.uint8)]
+        for start in range(0, len(ids), step):
+            some = ids[start : start + step]
+            sizes = self.sizes(some)
+            place = np.repeat(self.ends[some] - (np.cumsum(sizes) - sizes), sizes)
+            found.append(self.flat[place + np.arange(len(place))])
+        return np.concatenate(found)
 
 
 @lru_cache(maxsize=4)
@@ -207,16 +224,16 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(rank_file, pattern)
-        for batch in batches:
-            packed = codec.encode(batch.column(1).to_pylist())
-            offsets = np.cumsum([0, *(len(p) >> 2 for p in packed)], dtype=np.int64)
-            flat = np.frombuffer(b"".join(packed), dtype=np.uint32).astype(np.int32)
-            listed = flat.tolist()
-            decoded = [codec.decode(listed[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(decoded, pa.binary())],
-                names=["id", "token_ids", "decoded"],
-            )
+        for batch in grouped(batches, 1):
+            flat, ends = codec.encode(batch.column(1))
+            for start in range(0, batch.num_rows, ROWS_A_BATCH):
+                rows = batch.column(0).slice(start, ROWS_A_BATCH)
+                cuts = ends[start : start + len(rows) + 1]
+                ids = flat[cuts[0] : cuts[-1]]
+                sizes = np.r_[0, np.cumsum(codec.sizes(ids))]
+                cuts = cuts - cuts[0]
+                listed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([rows, listed, binaries(codec.decode(ids), sizes[cuts])], names=["id", "token_ids", "decoded"])
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
