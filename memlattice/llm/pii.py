@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from memlattice.llm.boosting import Boosted, calibrated_cut, fit
 from memlattice.llm.common import settled, text_or_empty
-from memlattice.llm.spans import NONE, joined, of_kind, places
+from memlattice.llm.spans import NONE, joined, lengths, of_kind, places, scanned
 
 #: The definitions, as plain patterns (fixed values).
 BASE = {
@@ -161,8 +161,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = settled(rows, **{f"_g_{k}": GATES[k](F.col("_t")) for k in kinds}, _g=F.col("_t").rlike(ANY))
     gate = {k: F.col(f"_g_{k}") for k in kinds} | {k: F.col("_g") for k in GENERATORS}
     rows = settled(rows, **{f"_m_{k}": F.when(gate[k], F.regexp_extract_all("_t", F.lit(p), F.lit(0))) for k, p in searched.items()})
-    found = {k: F.when(F.size(f"_m_{k}") > 0, places(F.split("_t", p, -1), F.col(f"_m_{k}"))) for k, p in searched.items()}
-    rows = settled(rows, **{f"_p_{k}": v for k, v in found.items()})
+    rows = settled(rows, **{f"_l_{k}": F.when(F.size(f"_m_{k}") > 0, lengths(F.split("_t", p, -1), F.col(f"_m_{k}"))) for k, p in searched.items()})
+    rows = settled(rows, **{f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, places(f"_l_{k}", f"_m_{k}")) for k in searched})
     rows = settled(rows, **{k: F.coalesce(F.filter(f"_p_{k}", partial(_valid, k)), none) for k in kinds})
     model, cut = classifier()
     text = F.col("_t")
@@ -190,20 +190,31 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def ranked(s: Column) -> Column:
         margin = model.margin({f: s[f] for f in FEATURES})
-        return F.struct((-margin).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-
-    empty = F.expr("cast(array() as array<struct<rank:double,start:int,end:int,kind:string>>)")
-    proposed = F.transform(F.concat(*(candidates(k, name) for k, name in enumerate(GENERATORS))), ranked)
-    base = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in kinds))
-    rows = settled(rows, _c=F.when(F.greatest(*(F.size(f"_p_{k}") for k in GENERATORS)) > 0, F.array_sort(F.filter(proposed, lambda c: -c["rank"] >= F.lit(cut)))), _base=base)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (-margin).alias("rank"), s["kind"].alias("kind"))
+
+    proposed = F.filter(F.transform(F.concat(*(candidates(k, name) for k, name in enumerate(GENERATORS))), ranked), lambda c: -c["rank"] >= F.lit(cut))
+    rows = settled(rows, _c=F.when(F.greatest(*(F.size(f"_p_{k}") for k in GENERATORS)) > 0, proposed))
+    # Base spans rank before all candidates, with a null kind.
+    base = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(float("-inf")).alias("rank"), F.lit(None).cast("string").alias("kind"))) for k in kinds))
+    rows = settled(rows, _s=F.when(F.size("_c") > 0, F.array_sort(F.concat(base, F.col("_c")))))
+    rows = settled(rows, _e=F.transform("_s", lambda s: s["end"]))
+    # Spans overlap in runs: one starts where a span starts at or after the ends of all before it.
+    rows = settled(rows, _f=F.filter(F.transform(F.zip_with("_s", scanned("_e", lambda a, b: F.greatest(a, b)), lambda s, end: s["start"] >= end), lambda first, i: F.when(first, i)), lambda i: i.isNotNull()))
+    run = F.transform("_f", lambda i, k: F.slice("_s", i + 1, F.coalesce(F.get("_f", k + 1), F.size("_s")) - i))
 
     def take(chosen: Column, c: Column) -> Column:
-        clash = lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])
-        return F.when(F.exists("_base", clash) | F.exists(chosen, clash), chosen).otherwise(F.concat(chosen, F.array(c)))
-
-    rows = settled(rows, _chosen=F.coalesce(F.when(F.size("_c") > 0, F.aggregate("_c", empty, take)), empty))
-    added = F.array_sort(F.transform("_chosen", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), (-c["rank"]).alias("margin"))))
-    return settled(rows, added=added).select(id_col, *kinds, "added")
+        clash = F.exists(chosen, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+        return F.when(c["kind"].isNotNull() & clash, chosen).otherwise(F.concat(chosen, F.array(c)))
+
+    def best(spans: Column) -> Column:
+        by_rank = F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        empty = F.expr("cast(array() as array<struct<rank:double,start:int,end:int,kind:string>>)")
+        return F.filter(F.aggregate(by_rank, empty, take), lambda s: s["kind"].isNotNull())
+
+    rows = settled(rows, _chosen=F.when(F.size("_c") > 0, F.flatten(F.transform(run, best))))
+    shown = F.transform("_chosen", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), (-c["rank"]).alias("margin")))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,margin:double>>)")
+    return settled(rows, added=F.coalesce(F.array_sort(shown), none)).select(id_col, *kinds, "added")
 
 
 def digests(found: DataFrame) -> DataFrame:
