@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlattice.llm.common import materialized, settled, text_or_empty
-from memlattice.llm.spans import NONE, joined, labelled, of_kind, places
+from memlattice.llm.spans import NONE, joined, labelled, lengths, of_kind, places
 
 #: The definitions, as plain patterns (fixed values); in "assign" the key's letters are of either case.
 BASE = {
@@ -39,6 +39,8 @@ MORE = {
 }
 RULES = {**JAVA, **MORE}
 VERSION = 1
+#: Blobs whose findings are broadcast to their rows: those with the most.
+HOT_BLOBS = 200
 GATE = r"""(?i:password|passwd|secret|token|api_?key)["']?+ *+[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|-----BEGIN |eyJ|gh[pousr]_|xox[abprs]-|sk_live_|://[^\s/:@]{1,64}:[^\s/:@]{4,64}@"""
 
 FINDING = "array<struct<kind:string,start:int,end:int>>"
@@ -59,7 +61,8 @@ def scan(blobs: DataFrame, version: int = VERSION) -> DataFrame:
     """``blob``, ``version`` and its ``findings`` for ``blob``, ``text`` rows; built-in functions only."""
     rows = settled(blobs, _g=F.col("text").rlike(GATE))
     rows = settled(rows, **{f"_m_{k}": F.when(F.col("_g"), F.regexp_extract_all("text", F.lit(p), F.lit(0))) for k, p in RULES.items()})
-    rows = settled(rows, **{f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, places(F.split("text", p, -1), F.col(f"_m_{k}"))) for k, p in RULES.items()})
+    rows = settled(rows, **{f"_l_{k}": F.when(F.size(f"_m_{k}") > 0, lengths(F.split("text", p, -1), F.col(f"_m_{k}"))) for k, p in RULES.items()})
+    rows = settled(rows, **{f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, places(f"_l_{k}", f"_m_{k}")) for k in RULES})
     kept = [labelled(F.filter(F.coalesce(f"_p_{k}", F.expr(NONE)), partial(_kept, k)), n, k) for n, k in enumerate(RULES)]
     found = [F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for spans in kept]
     return rows.select("blob", F.lit(version).alias("version"), F.concat(*found).cast(FINDING).alias("findings"))
@@ -82,11 +85,19 @@ def paths(docs: DataFrame, ledger: DataFrame, version: int = VERSION, id_col: st
     """``doc_id``, ``blob`` and ``findings`` of every row of ``docs`` under a rule version.
 
     Null texts are the empty blob; repeated rows each give a row; other columns are
-    not read.  Most blobs have no finding, so only those that do are joined.
+    not read.  Most blobs have no finding, so only those that do are joined.  The
+    HOT_BLOBS blobs with the most rows are sent to every executor, so that no more
+    rows of one blob than one in HOT_BLOBS of all meet in a task.
     """
     known = ledger.where((F.col("version") == version) & (F.size("findings") > 0)).select("blob", "findings").dropDuplicates(["blob"])
-    found = versions(docs, id_col, text_col).join(known, "blob", "left")
-    return found.select("doc_id", "blob", F.coalesce("findings", F.expr(f"cast(array() as {FINDING})")).alias("findings"))
+    rows = versions(docs, id_col, text_col)
+    hot = rows.groupBy("blob").count().where("count > 100").orderBy(F.desc("count"), "blob").limit(HOT_BLOBS).select("blob")
+    hot = materialized(hot.join(known, "blob", "left").select("blob", F.col("findings").alias("_hot"), F.lit(True).alias("_is_hot")), "hot")
+    rows = rows.join(F.broadcast(hot), "blob", "left")  # HOT_BLOBS rows at most
+    # What is known already takes a key of its own, which no blob has and which spreads its rows.
+    key = F.when(F.col("_is_hot"), F.concat(F.lit("#"), F.xxhash64("doc_id").cast("string"))).otherwise(F.col("blob"))
+    found = rows.withColumn("_key", key).join(known.withColumnRenamed("blob", "_key"), "_key", "left")
+    return found.select("doc_id", "blob", F.coalesce("_hot", "findings", F.expr(f"cast(array() as {FINDING})")).alias("findings"))
 
 
 def scan_all(docs: DataFrame) -> DataFrame:
