@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlattice.llm.common import settled, text_or_empty
+from memlattice.llm.common import guarded, settled, text_or_empty
 
 SPACE = r"[ \t-\r]"
 SYMBOLS = "#*$%&|<>"
@@ -59,8 +59,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text are found by hash sets over its own arrays, and only texts that have a
     repeated window sort them.
     """
-    kept = [c for c in docs.columns if c not in MEASUREMENTS]
-    rows = docs.select(*kept, text_or_empty(text_col).alias("_t"))
+    docs, named, of = guarded(docs)
+    kept = [c for c in docs.columns if c.lower() not in MEASUREMENTS]
+    rows = docs.select(*kept, text_or_empty(of[text_col]).alias("_t"))
     rows = rows.withColumns({"_w": F.array_remove(F.split("_t", SPACE + "+", -1), ""), "_l": F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))})
     rows = rows.withColumns({"_n": F.size("_w"), "_h": F.transform("_w", lambda w: F.xxhash64(w))})
     h = F.col("_h")
@@ -86,7 +87,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_bangs": _dropped(F.col("_t"), "!"),
         "n_lines": F.size("_l"),
     }
-    return rows.select(*kept, *(v.cast("long").alias(k) for k, v in found.items()))
+    return named(rows.select(*kept, *(v.cast("long").alias(k) for k, v in found.items())))
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -116,11 +117,10 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def accept(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
-    """The documents that a policy keeps, with their own columns."""
-    clashing = [c for c in docs.columns if c in (*MEASUREMENTS, "failures")]
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in clashing})
-    kept = ledger(renamed).where(~failed(policy)).select(*renamed.columns)
-    return kept.withColumnsRenamed({f"_own_{c}": c for c in clashing})
+    """The documents that a policy keeps, with their own columns, whatever their names; null texts count as empty and fail."""
+    docs, named, _ = guarded(docs)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return named(ledger(rows).where(~failed(policy)).select("row.*"))
 
 
 def digests(book: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
