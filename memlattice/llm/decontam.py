@@ -20,78 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memlattice.llm.shingles import shingle_hashes, shingles
+
 WORDS = 5
 CONTAINED = 0.8
 #: Bytes of benchmark text that are sent to the executors at a time.
 BLOCK_BYTES = 8 << 20
 
-_FACTOR, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of the factor and its inverse modulo 2 ** 64, as far as needed so far."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n + n // 4, f, dtype=np.uint64)]) for f in (_FACTOR, _INVERSE))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
-
-def shingle_hashes(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and first word number of all shingles, by one pass over the bytes.
-
-    Words are runs of bytes other than x20 and x09-x0D, with A-Z lowered.  A text of
-    fewer words has one shingle of them all, one without words none.
-    """
-    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
-    space = _SPACE[data]
-    edges = np.flatnonzero(np.diff(np.r_[True, space].view(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _POWERS.upto(len(data) + 1)
-    sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])
-    upto = np.r_[np.uint64(0), sums]
-    word = _mix((upto[ends] - upto[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) << np.uint64(48))
-    borders = np.cumsum([len(t) + 1 for t in texts])
-    text_of = np.searchsorted(borders, starts, side="right")
-    first = np.searchsorted(text_of, np.arange(len(texts) + 1))
-    step = np.uint64(0xD6E8FEB86659FD93)
-    n = max(0, len(word) - words + 1)
-    full = np.zeros(n, dtype=np.uint64)
-    for k in range(words):
-        full = full * step + word[k : k + n]
-    inside = np.flatnonzero(text_of[:n] == text_of[words - 1 : words - 1 + n]) if n else np.zeros(0, dtype=np.int64)
-    hashes, owner, at = [full[inside]], [text_of[inside]], [inside - first[text_of[inside]]]
-    counts = np.diff(first)
-    for short in np.flatnonzero((counts > 0) & (counts < words)).tolist():
-        h = np.zeros(1, dtype=np.uint64)
-        for k in range(first[short], first[short + 1]):
-            h = h * step + word[k : k + 1]
-        hashes.append(h)
-        owner.append(np.array([short]))
-        at.append(np.array([0]))
-    return _mix(np.concatenate(hashes)), np.concatenate(owner), np.concatenate(at)
-
-
-def shingles(text: bytes, words: int = WORDS) -> list[bytes]:
-    found = text.lower().split()
-    return [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
-
 
 class Sketches:
     """MinHash sketches of benchmark items, partitioned by size."""
@@ -106,7 +41,7 @@ class Sketches:
         self.hits = []
         values, owners, every = [], [], [np.zeros(0, dtype=np.uint64)]
         for k, found in enumerate(self.shingles):
-            hashes = np.unique(shingle_hashes([s for s in found], words)[0])
+            hashes = np.unique(shingle_hashes(list(found), words)[0])
             upper = 1 << (len(found) - 1).bit_length()  # the partition's largest size
             depth = min(upper - math.ceil(contained * upper - 1e-9) + 1, len(hashes))
             self.hits.append(max(1, depth - (len(found) - self.least[k])))

@@ -1,10 +1,12 @@
 """Shards, URL verdicts, contained benchmark items, the pipeline."""
 
+import math
 import re
 import zlib
 from pathlib import Path
 
 import pytest
+import xxhash
 
 from memlattice.llm import decontam, oracle, queries, sharding, url_filter
 
@@ -100,36 +102,99 @@ def test_url_rules(spark, sf_dir):
         assert r.rule == found and r.verdict in ("allow", "block") and (verdict is None or r.verdict == verdict)
 
 
-def test_url_edges_and_both_ways_of_scoring(spark):
-    urls = [None, "", "no scheme", "HTTP://A.ORG/x?y", "http://Xorg", "x://org", "x://org/", "http://a.example.org/en/1?q", "http://example.com/fr/é", "http://example.com/de/1#a", "http://z.net/en/5", "http://z.net/de/5", "://?x", "a://b://c/d"]
-    pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)] + [(3, urls[3], "k")], "page_id long, url string, verdict string")
-    sent = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages).collect())
-    joined = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, sent_rows=0).collect())
-    assert sent == joined or [x[:3] for x in sent] == [x[:3] for x in joined]
-    assert len(sent) == len(urls) + 1
-    for page_id, host, path, found, _ in sent:
-        assert (host, path) == host_path(urls[page_id]) and found == rule(host, path)[0]
+def grams_of(text):
+    padded = url_filter.START * url_filter.ORDER + text
+    return [padded[i - url_filter.ORDER : i + 1] for i in range(url_filter.ORDER, len(padded))]
+
+
+def brute_scores(labelled, asked):
+    """Witten-Bell by plain dictionaries: of each model, how often a context had a character after it."""
+    after = [{}, {}]
+    for text, rejected in labelled:
+        for longest in grams_of(text):
+            for k in range(url_filter.ORDER + 1):
+                part = longest[len(longest) - 1 - k :]
+                found = after[rejected].setdefault(part[:-1], {})
+                found[part[-1]] = found.get(part[-1], 0) + 1
+
+    def probability(model, longest):
+        p = 1 / 256
+        for k in range(url_filter.ORDER + 1):
+            part = longest[len(longest) - 1 - k :]
+            found = after[model].get(part[:-1])
+            if found:
+                p = (found.get(part[-1], 0) + len(found) * p) / (sum(found.values()) + len(found))
+        return p
+
+    return {t: sum(math.log(probability(0, g)) - math.log(probability(1, g)) for g in grams_of(t)) / len(t) if t else 0.0 for t in asked}
+
+
+def brute_verdicts(urls):
+    """The verdict of every url without a rule, with its score's distance from the threshold."""
+    texts = {u: "".join(host_path(u)) for u in urls}
+    ruled = [(texts[u], int(rule(*host_path(u))[1] == "block")) for u in urls if rule(*host_path(u))[1]]
+    held = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) % url_filter.HELD_OUT == 0  # noqa: E731  (a divisor of 2 ** 64: the sign does not matter)
+    scored = brute_scores([x for x in ruled if not held(x[0])], set(texts.values()))
+    buckets = {}
+    for text, rejected in ruled:
+        if held(text):
+            k = min(max(math.floor((scored[text] + 4) * (url_filter.STEPS / 8)), 0), url_filter.STEPS - 1)
+            buckets.setdefault(k, [0, 0])[rejected] += 1
+    cut, best = 0.0, -1.0
+    totals = [sum(b[c] for b in buckets.values()) for c in (0, 1)]
+    if all(totals):
+        order = sorted(buckets)
+        for place, k in enumerate(order):
+            below = [sum(buckets[j][c] for j in order[:place]) for c in (0, 1)]
+            right = (totals[0] - below[0]) / totals[0] + below[1] / totals[1]
+            if right > best:
+                best, cut = right, ((order[place - 1] + 1 if place else k) + k) / 2 * 8 / url_filter.STEPS - 4
+    return {u: ("allow" if scored[t] >= cut else "block", abs(scored[t] - cut)) for u, t in texts.items() if not rule(*host_path(u))[1]}
+
+
+def test_every_verdict_without_a_rule_against_brute_force(spark, sf_dir):
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()}
+    hosts = ("cdn.net", "cab.info", "c.net", "dab.info", "org", "x.org", "com")
+    urls |= {10_000 + k: f"http://{h}/{lang}/{n}c{n}" for k, (h, lang, n) in enumerate((h, lang, n) for h in hosts for lang in ("fr", "de", "c") for n in range(5))}
+    expected = brute_verdicts(list(urls.values()))
+    pages = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    judged = {r.page_id: r for r in url_filter.judge(pages).collect() if r.rule is None}
+    assert judged.keys() == {i for i, u in urls.items() if u in expected} and len({r.verdict for r in judged.values()}) == 2
+    for page_id, row in judged.items():
+        verdict, distance = expected[urls[page_id]]
+        assert row.verdict == verdict or distance < 1e-5, row
+
+
+def test_scores_against_brute_force(spark):
+    texts = [f"{h}.{t}/{lang}/{n}" for h in ("a", "c", "cc", "blog.c", "cdn") for t in ("org", "com", "net") for lang in ("fr", "de", "c") for n in range(3)]
+    labelled = [(t, int("de/" in t)) for t in texts]
+    asked = ["", "cdn.org/q", "cab.org/q", "dab.org/q", "c", "x", "new.example.org/fr/77", *texts[:9]]
+    stats = url_filter.models(spark.createDataFrame([(*x, 1) for x in labelled], "text string, rejected int, n long"))
+    assert stats.count() == stats.select("string").distinct().count()
+    found = {r.text: r.score for r in url_filter.scores(spark.createDataFrame([(t,) for t in asked], "text string"), stats).collect()}
+    assert found == pytest.approx(brute_scores(labelled, asked), abs=1e-5)
+
+
+def test_url_edges(spark):
+    urls = [None, "", "no scheme", "HTTP://A.ORG/x?y", "http://Xorg", "x://org", "x://org/", "http://a.example.org/en/1?q", "http://example.com/fr/é", "http://example.com/de/1#a", "http://z.net/en/5", "http://z.net/de/5", "://?x", "a://b://c/d", "x://c.net/" + "long/" * 20_000]
+    rows = [(i, u, "k", "a", "b", "c", "d", "e") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame([*rows, rows[3]], "page_id long, url string, verdict string, score string, _text string, _s string, _scored string, _salt string")
+    found = url_filter.judge(pages)
+    assert found.columns == [c for c in pages.columns if c != "verdict"] + ["host", "path", "rule", "verdict"]
+    judged = found.collect()
+    assert len(judged) == len(urls) + 1 and {(r.score, r._text, r._s, r._scored, r._salt) for r in judged} == {("a", "b", "c", "d", "e")}
+    for r in judged:
+        assert (r.host, r.path) == host_path(urls[r.page_id]) and (r.rule, r.verdict if r.rule else None) == rule(r.host, r.path)
     assert url_filter.judge(pages.where("false")).count() == 0
 
 
-def test_joined_scores_equal_sent_ones(spark, sf_dir):
-    texts = [f"{h}.example.{t}/{lang}/{n}" for h in ("a", "blog.b", "shop") for t in ("org", "com", "net") for lang in ("fr", "de", "en") for n in range(4)]
-    labelled = spark.createDataFrame([(t, int("de/" in t)) for t in texts], "text string, rejected int")
-    stats = url_filter.models(labelled).cache()
-    asked = spark.createDataFrame([(t,) for t in ["", "new.example.org/fr/77", "x", *texts[:5]]], "text string")
-    one = {r.text: r.score for r in url_filter.scores(asked, stats).collect()}
-    two = {r.text: r.score for r in url_filter.scores(asked, stats, sent_rows=0).collect()}
-    assert one.keys() == two.keys() and all(one[t] == pytest.approx(two[t]) for t in one)
-    assert one["new.example.org/fr/77"] > 0 and one[""] == 0
-
-
 def test_models_tell_held_out_urls_apart(spark, sf_dir):
     larger = Path(sf_dir).parent / "sf0.1" / "pages.parquet"
     if not larger.exists():
         pytest.skip("the larger table is not there")
-    rows = url_filter.ruled(spark.read.parquet(str(larger)).select("url")).where("ruled is not null").selectExpr("concat(host, path) as text", "cast(ruled = 'block' as int) as rejected").distinct().collect()
+    rows = url_filter.ruled(spark.read.parquet(str(larger)).select("url")).where("ruled is not null").selectExpr("concat(host, path) as text", "cast(ruled = 'block' as int) as rejected", "1L as n").distinct().collect()
     held, fitted = rows[::4], [r for i, r in enumerate(rows) if i % 4]
-    stats = url_filter.models(spark.createDataFrame(fitted)).cache()
+    stats = url_filter.models(spark.createDataFrame(fitted))
     scored = {r.text: r.score for r in url_filter.scores(spark.createDataFrame([(r.text,) for r in held], "text string"), stats).collect()}
     right = sum((scored[r.text] < 0) == bool(r.rejected) for r in held)
     assert right >= 0.95 * len(held)
