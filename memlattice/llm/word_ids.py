@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at a time; one longer text is a group by itself.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 #: What the whole-text path takes: a separator at an end or beside another, any other white space or control character.
 OTHER = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x{00}-\x{09}\x{0B}-\x{1F}\x{7F}-\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}]"
 #: A mark of its own in front of a chunk that follows its neighbour without a separator.
@@ -27,7 +27,7 @@ MARKS = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([!\"#$%&()*+,\-./:;<
 class TwoGenerations:
     """Values by key; the generation before the last is forgotten, which bounds memory."""
 
-    def __init__(self, limit: int = 300_000, longest: int = 64):
+    def __init__(self, limit: int = 200_000, longest: int = 64):
         self.limit, self.longest = limit, longest
         self.now: dict = {}
         self.older: dict = {}

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.config import DEFAULT
-from memlattice.functions.texts import trigrams
+from memlattice.functions.texts import trigram_similarity, trigrams
+from memlattice.storage import settled
 
 
 def exact_names(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -17,20 +18,32 @@ def exact_names(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return mentions.withColumn("_n", F.lower("name")).join(entities.select("entity_id", F.lower("canonical_name").alias("_n")), "_n").drop("_n")
 
 
-def trigram_matches(mentions: DataFrame, entities: DataFrame, floor: float = DEFAULT.trigram_floor, most: int = 200, hot: int | None = None) -> DataFrame:
-    """Each mention's most similar entity names: ``mention_id``, ``entity_id``, ``similarity``.
+def trigram_matches(mentions: DataFrame, entities: DataFrame, floor: float = DEFAULT.trigram_floor, most: int | None = 200) -> DataFrame:
+    """Each mention's most similar entity names, all or the first ``most``: ``mention_id``, ``entity_id``, ``similarity``, ``rank``.
 
-    Names meet over shared trigrams in an equality join; their number and the sizes of
-    both sets give the similarity, so no two names are compared otherwise.
+    Names that reach ``floor`` share one of their rarest trigrams: of n, the first
+    n - ceil(floor * n) + 1 in order of how many entities hold them.  Only these meet in
+    a join, equal names are one name there, lengths that cannot reach ``floor`` are left
+    out, and whole sets decide.
     """
-    m = mentions.select("mention_id", F.explode(trigrams(F.col("name"))).alias("g"))
-    m = m.withColumn("na", F.count("*").over(Window.partitionBy("mention_id")))
-    e = entities.select("entity_id", F.explode(trigrams(F.col("canonical_name"))).alias("g"))
-    e = e.withColumn("nb", F.count("*").over(Window.partitionBy("entity_id")))
-    shared = m.join(e, "g").groupBy("mention_id", "entity_id", "na", "nb").agg(F.count("*").alias("s"))
-    scored = shared.select("mention_id", "entity_id", F.round(F.col("s") / (F.col("na") + F.col("nb") - F.col("s")), 6).alias("similarity")).where(F.col("similarity") >= floor)
+    named = lambda df, key, name: df.select(key, F.array_sort(trigrams(F.col(name))).alias("grams"))
+    m, e = named(mentions, "mention_id", "name"), named(entities, "entity_id", "canonical_name")
+    both = settled(m.select("grams").union(e.select("grams")).where(F.size("grams") > 0).distinct().withColumn("id", F.xxhash64("grams")))
+    times = both.select(F.explode("grams").alias("g")).groupBy("g").count()
+    each = both.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g")).join(times, "g")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("count", "g"))
+    rare = each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * floor - 1e-9) + 1)
+    left, right = rare.select("g", F.col("id").alias("a"), F.col("n").alias("na")), rare.select("g", F.col("id").alias("b"), F.col("n").alias("nb"))
+    near = left.join(right, "g").where((F.least("na", "nb") >= F.greatest("na", "nb") * floor - 1e-9)).select("a", "b").distinct()
+    near = near.join(both.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(both.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    near = near.select("ga", "gb", F.round(trigram_similarity(F.col("ga"), F.col("gb")), 6).alias("similarity")).where(F.col("similarity") >= floor)
+    e = e.withColumnRenamed("grams", "ge")
+    if most is not None:  # of equal names no more than the first ``most`` can be among the best
+        e = e.withColumn("k", F.row_number().over(Window.partitionBy("ge").orderBy("entity_id"))).where(F.col("k") <= most)
+    found = m.join(near, m.grams == near.ga).join(e, F.col("gb") == F.col("ge")).select("mention_id", "entity_id", "similarity")
     rank = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("similarity"), F.asc("entity_id")))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most)
+    found = found.withColumn("rank", rank)
+    return found if most is None else found.where(F.col("rank") <= most)
 
 
 def sequence_ratio(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -60,13 +73,30 @@ def resolve(candidates: DataFrame, threshold: float = DEFAULT.entity_threshold,
     return scored.withColumn("rank", rank).where((F.col("rank") == 1) & (F.col("score") >= threshold)).drop("rank")
 
 
+def scored_candidates(mentions: DataFrame, known: DataFrame, with_mention: DataFrame, with_entity: DataFrame, floor: float = DEFAULT.trigram_floor, most: int = 200) -> DataFrame:
+    """What ``resolve`` scores, for every mention and entity whose names are alike.
+
+    ``mentions``: mention_id, name, at.  ``known``: entity_id, canonical_name,
+    last_seen.  ``with_mention`` and ``with_entity`` name the ``companion`` each occurs
+    with; ``together`` is the share of a mention's companions that the entity has.
+    """
+    near = trigram_matches(mentions, known, floor, most).select("mention_id", "entity_id", "similarity")
+    named = near.join(mentions, "mention_id").join(known, "entity_id")
+    scored = sequence_ratio(named.select("mention_id", "entity_id", "similarity", "name", "canonical_name", F.datediff("at", "last_seen").alias("days")), "name", "canonical_name")
+    each = near.select("mention_id", "entity_id").join(with_mention.select("mention_id", "companion").distinct(), "mention_id")
+    shared = each.join(with_entity.select("entity_id", "companion").distinct().withColumn("_has", F.lit(1)), ["entity_id", "companion"], "left")
+    together = shared.groupBy("mention_id", "entity_id").agg((F.sum(F.coalesce("_has", F.lit(0))) / F.count("*")).alias("together"))
+    found = scored.join(together, ["mention_id", "entity_id"], "left")
+    return found.select("mention_id", "entity_id", "ratio", (F.col("similarity") == 1).alias("same"), "together", F.abs("days").alias("days"))
+
+
 def cluster_names(names: DataFrame, floor: float = DEFAULT.name_pair_floor) -> DataFrame:
     """``name``, ``canonical``: new names joined by similarity; the name of a cluster has most mentions, then is shortest, then first."""
     from memlattice.operators.graph import components
 
     each = names.withColumn("lower", F.lower("name")).groupBy("lower").agg(F.sum("mentions").alias("mentions"), F.min("name").alias("name"))
     ids = each.select(F.col("lower").alias("mention_id"), F.col("lower").alias("name"))
-    pairs = trigram_matches(ids, ids.select(F.col("mention_id").alias("entity_id"), F.col("name").alias("canonical_name")), floor, most=1_000_000)
+    pairs = trigram_matches(ids, ids.select(F.col("mention_id").alias("entity_id"), F.col("name").alias("canonical_name")), floor, most=None)
     linked = components(pairs.select(F.col("mention_id").alias("a"), F.col("entity_id").alias("b")))
     placed = each.join(linked.withColumnRenamed("node", "lower"), "lower", "left").withColumn("root", F.coalesce("root", "lower"))
     order = Window.partitionBy("root").orderBy(F.desc("mentions"), F.length("lower"), F.asc("lower"))

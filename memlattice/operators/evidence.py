@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.config import DEFAULT
+from memlattice.functions.scoring import dot, norm
 from memlattice.functions.texts import folded, token_estimate, tokens
 from memlattice.operators.budget import pack
 from memlattice.operators.retrieval import ranked
+from memlattice.storage import settled
 
 
 def recall_depth(max_tokens: Column, factor: float, low: int = 20, high: int = 2000) -> Column:
@@ -68,10 +70,32 @@ def context_search(units: DataFrame, text: Column, title: Column, terms: Sequenc
     return scored.orderBy(F.desc("score"), F.desc("_titles"), key).limit(limit).select(key, "score")
 
 
-def claims(rows: DataFrame) -> DataFrame:
-    """Claims of a slot merged by their folded lower-case text: fewest tokens, most authority."""
+def claims(rows: DataFrame, lead: int = 48) -> DataFrame:
+    """Claims of a slot merged: fewest tokens, most authority.
+
+    Equal folded lower-case texts are one claim, and so is a claim that begins with
+    another of the slot if both have ``lead`` characters or more; the shortest names it.
+    In sorted order a claim's beginnings stand before it, so one pass that remembers
+    the last of them finds it, however many share a beginning.
+    """
+    from pyspark.sql import types as T
+
     key = folded(F.lower("claim"))
-    return rows.groupBy("slot", key.alias("claim")).agg(F.min("tokens").alias("tokens"), F.max("authority").alias("authority"), F.count("*").alias("n"))
+    each = rows.groupBy("slot", key.alias("claim")).agg(F.min("tokens").alias("tokens"), F.max("authority").alias("authority"), F.count("*").alias("n"))
+    each = each.withColumn("_lead", F.substring("claim", 1, lead)).repartition("slot", "_lead").sortWithinPartitions("slot", "_lead", "claim").drop("_lead")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slot, root = None, None
+        for frame in frames:
+            roots = []
+            for this, claim in zip(frame["slot"], frame["claim"], strict=True):
+                if this != slot or root is None or claim is None or len(root) < lead or not claim.startswith(root):
+                    slot, root = this, claim
+                roots.append(root)
+            yield frame.assign(claim=roots)
+
+    merged = each.mapInPandas(run, T.StructType(each.schema.fields))
+    return merged.groupBy("slot", "claim").agg(F.min("tokens").alias("tokens"), F.max("authority").alias("authority"), F.sum("n").alias("n"))
 
 
 def missing_slots(required: Sequence[str], covered: Column) -> Column:
@@ -100,55 +124,149 @@ def token_compatible(pairs: DataFrame, left: str, right: str, least: float = 0.6
     return pairs.withColumn("compatible", compatible(F.col(left), F.col(right)))
 
 
-def apply_operations(operations: DataFrame) -> DataFrame:
-    """Sections of each document after its operations (doc_id, seq, op, section, text) in order.
+def topics(members: DataFrame, hierarchy: DataFrame, samples: int) -> DataFrame:
+    """Roots of a hierarchy (``leaf``, ``root``) with their members, leaves that have any, and the ``samples`` members of most weight."""
+    each = members.join(hierarchy, "leaf")
+    best = ranked(each, ["root"], F.desc("weight"), F.asc("unit_id"), most=samples)
+    best = best.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "unit_id"))), lambda x: x["unit_id"]).alias("samples"))
+    counts = each.groupBy("root", "leaf").count().groupBy("root").agg(F.sum("count").alias("members"), F.count("*").alias("leaves"))
+    return counts.join(best, "root")
+
+
+OPERATIONS = ("append_block", "insert_block", "replace_block", "remove_block", "add_section", "remove_section", "replace_section_blocks", "rename_section")
+
+
+class Document:
+    """Sections in order, each with an id, a heading and (id, text) blocks; ``apply`` says whether an operation fits."""
+
+    def __init__(self):
+        self.sections: list[dict] = []
+        self.made, self.applied, self.skipped = 0, 0, 0
+
+    def _section(self, name: str | None) -> dict | None:
+        return next((s for s in self.sections if s["id"] == name), None)
+
+    def _blocks(self, texts) -> list[list[str]]:
+        out = []
+        for text in texts:
+            self.made += 1
+            out.append([f"b{self.made}", text or ""])
+        return out
+
+    def apply(self, op: str, section: str | None, block: str | None, after: str | None, text: str | None) -> None:
+        done = getattr(self, f"_{op}", lambda *_: False)(self._section(section), section, block, after, text)
+        self.applied, self.skipped = self.applied + bool(done), self.skipped + (not done)
+
+    def _append_block(self, held, section, block, after, text):
+        if held is None:
+            return False
+        held["blocks"] += self._blocks([text])
+        return True
+
+    def _insert_block(self, held, section, block, after, text):
+        places = [b[0] for b in held["blocks"]] if held else []
+        if held is None or (after is not None and after not in places):
+            return False
+        at = places.index(after) + 1 if after is not None else 0
+        held["blocks"][at:at] = self._blocks([text])
+        return True
+
+    def _replace_block(self, held, section, block, after, text):
+        found = [b for b in held["blocks"] if b[0] == block] if held else []
+        for b in found:
+            b[1] = text or ""
+        return bool(found)
+
+    def _remove_block(self, held, section, block, after, text):
+        if held is None or block not in [b[0] for b in held["blocks"]]:
+            return False
+        held["blocks"] = [b for b in held["blocks"] if b[0] != block]
+        return True
+
+    def _add_section(self, held, section, block, after, text):
+        """``section`` is the new id; one that exists gets a number behind it."""
+        places = [s["id"] for s in self.sections]
+        if section is None or (after is not None and after not in places):
+            return False
+        name, number = section, 2
+        while name in places:
+            name, number = f"{section}-{number}", number + 1
+        at = places.index(after) + 1 if after is not None else len(places)
+        self.sections.insert(at, {"id": name, "heading": text or "", "blocks": []})
+        return True
+
+    def _remove_section(self, held, section, block, after, text):
+        if held is None:
+            return False
+        self.sections.remove(held)
+        return True
+
+    def _replace_section_blocks(self, held, section, block, after, text):
+        if held is None:
+            return False
+        held["blocks"] = self._blocks((text or "").split("\n\n")) if text else []
+        return True
+
+    def _rename_section(self, held, section, block, after, text):
+        if held is None or not text:
+            return False
+        held["heading"] = text
+        return True
+
 
-    ``append`` adds to a section (made if absent), ``replace`` and ``remove`` need it;
-    what does not apply is counted in ``skipped``.  A document's operations are one
-    group, as they must be applied one after the other.
+def apply_operations(operations: DataFrame) -> DataFrame:
+    """Sections of each document after its operations (doc_id, seq, op, section, block, after, text) in order.
+
+    Eight kinds (OPERATIONS); what names something that is not there, or is of no kind,
+    is skipped.  ``text`` is a block, a heading, or blocks parted by an empty line.
+    Rows: ``place`` and ``section`` (null for a document without sections), ``heading``,
+    ``blocks`` (texts in order), and the document's ``applied`` and ``skipped``.
+    Operations are read in order as a stream: a task holds one document's sections,
+    however many operations made them.
     """
     kind = operations.schema["doc_id"].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sections: dict[str, list[str]] = {}
-        skipped = 0
-        for row in frame.sort_values(["seq", "op", "section", "text"], kind="stable").itertuples():
-            if row.op == "append":
-                sections.setdefault(row.section, []).append(row.text)
-            elif row.section not in sections:
-                skipped += 1
-            elif row.op == "replace":
-                sections[row.section] = [row.text]
-            else:
-                del sections[row.section]
-        names = sorted(sections) or [None]
-        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[0], "section": names, "parts": [len(sections.get(n, ())) for n in names], "skipped": skipped})
-
-    return operations.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, section string, parts long, skipped long")
-
-
-def diverse_samples(rows: DataFrame, limit: int, pool: int = 2000) -> DataFrame:
+    names = ["doc_id", "seq", "op", "section", "block", "after", "text"]
+    ordered = operations.select(*names).repartition("doc_id").sortWithinPartitions(*names)
+
+    def rows(doc_id, document: Document) -> pd.DataFrame:
+        held = document.sections or [{"id": None, "heading": None, "blocks": []}]
+        return pd.DataFrame([(doc_id, k, s["id"], s["heading"], [b[1] for b in s["blocks"]], document.applied, document.skipped) for k, s in enumerate(held)], columns=["doc_id", "place", "section", "heading", "blocks", "applied", "skipped"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, document = None, None
+        for frame in frames:
+            frame = frame.astype(object).where(frame.notna(), None)
+            for doc_id, _, *operation in frame.itertuples(index=False, name=None):
+                if document is None or doc_id != now:
+                    if document is not None:
+                        yield rows(now, document)
+                    now, document = doc_id, Document()
+                document.apply(*operation)
+        if document is not None:
+            yield rows(now, document)
+
+    return ordered.mapInPandas(run, f"doc_id {kind}, place int, section string, heading string, blocks array<string>, applied int, skipped int")
+
+
+def diverse_samples(rows: DataFrame, limit: int) -> DataFrame:
     """Up to ``limit`` units of each topic: oldest, newest, nearest the centre, then each the farthest from those chosen.
 
-    The first and last by time and ``pool`` units by hash stand for a large topic, so
-    that no group is collected without bound.
+    Every choice is an aggregate over all units of the topic (ties: oldest, then id),
+    so nothing is collected but the ``limit`` vectors of a topic that are chosen.
     """
-    import numpy as np
-
-    topic = Window.partitionBy("topic")
-    placed = rows.withColumn("_h", F.row_number().over(topic.orderBy(F.xxhash64("unit_id")))).withColumn("_o", F.row_number().over(topic.orderBy("at", "unit_id"))).withColumn("_n", F.row_number().over(topic.orderBy(F.desc("at"), F.desc("unit_id"))))
-    small = placed.where((F.col("_h") <= pool) | (F.col("_o") == 1) | (F.col("_n") == 1))
-    kinds = {n: rows.schema[n].dataType.simpleString() for n in ("topic", "unit_id")}
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "unit_id"], kind="stable")
-        v = np.stack([np.asarray(x, dtype=float) for x in frame["embedding"]])
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        chosen = list(dict.fromkeys([0, len(v) - 1, int((v @ v.mean(axis=0)).argmax())]))[:limit]
-        while len(chosen) < min(limit, len(v)):
-            nearest = (v @ v[chosen].T).max(axis=1)
-            nearest[chosen] = np.inf
-            chosen.append(int(nearest.argmin()))
-        return pd.DataFrame({"topic": frame["topic"].iloc[0], "unit_id": frame["unit_id"].to_numpy()[chosen], "place": range(len(chosen))})
-
-    return small.groupBy("topic").applyInPandas(run, f"topic {kinds['topic']}, unit_id {kinds['unit_id']}, place long")
+    length = norm(F.col("embedding"))
+    v = F.transform("embedding", lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0))
+    held = rows.select("topic", "unit_id", "at", v.alias("v"))
+    mean = held.select("topic", F.posexplode("v").alias("k", "x")).groupBy("topic", "k").agg(F.avg("x").alias("x"))
+    centre = mean.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("centre"))
+    unit, place = F.struct("unit_id", "v"), F.struct("at", "unit_id")
+    ends = held.groupBy("topic").agg(F.min_by(unit, place).alias("a"), F.max_by(unit, place).alias("b"))
+    near = held.join(centre, "topic").groupBy("topic").agg(F.min_by(unit, F.struct((-dot(F.col("v"), F.col("centre"))).alias("s"), "at", "unit_id")).alias("c"))
+    add = lambda picks, p: F.when(F.exists(picks, lambda x: x["unit_id"] == p["unit_id"]), picks).otherwise(F.concat(picks, F.array(p)))
+    chosen = settled(ends.join(near, "topic").select("topic", F.slice(add(add(F.array("a"), F.col("b")), F.col("c")), 1, limit).alias("picks")))
+    for _ in range(limit - 1):
+        open_ = held.join(chosen, "topic").where((F.size("picks") < limit) & ~F.exists("picks", lambda p: p["unit_id"] == F.col("unit_id")))
+        closest = F.array_max(F.transform("picks", lambda p: dot(F.col("v"), p["v"])))
+        pick = open_.groupBy("topic").agg(F.min_by(unit, F.struct(closest.alias("s"), "at", "unit_id")).alias("p"))
+        chosen = settled(chosen.join(pick, "topic", "left").select("topic", F.when(F.col("p").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("p"))).alias("picks")))
+    return chosen.select("topic", F.posexplode("picks").alias("place", "p")).select("topic", F.col("p.unit_id").alias("unit_id"), F.col("place").cast("long").alias("place"))

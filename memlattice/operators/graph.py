@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.config import DEFAULT
-from memlattice.functions.scoring import cosine, link_weight, norm
+from memlattice.functions.scoring import link_weight, norm
 from memlattice.functions.times import micros
+from memlattice.operators.retrieval import nearest
+from memlattice.storage import settled
 
 HOUR = 3_600_000_000
 
@@ -73,41 +75,18 @@ def cap_links(links: DataFrame, most: int = DEFAULT.temporal_links, source: str
     return links.withColumn("r", rank).where(F.col("r") <= most).drop("r")
 
 
-def semantic_links(units: DataFrame, keys: Sequence[str], k: int = DEFAULT.semantic_links, floor: float = DEFAULT.semantic_link_floor, block_rows: int = 2000) -> DataFrame:
+def semantic_links(units: DataFrame, keys: Sequence[str], k: int | None = DEFAULT.semantic_links, floor: float = DEFAULT.semantic_link_floor) -> DataFrame:
     """Each unit's nearest units of its keys by cosine, at least ``floor``; zero vectors have none.
 
-    Exact, over blocks: units are dealt by hash into blocks, and every two blocks of a
-    key meet in one group of numpy products, of which only the best ``k`` a unit leave.
+    Exact, over blocks: every two blocks of a key meet in one product, of which only
+    the best ``k`` of a unit leave (all of them where ``k`` is None).  The work grows
+    with the square of a key's units; ``vectors.search`` is the way for large ones.
     """
-    import numpy as np
-    import pandas as pd
-
-    usable = units.where(norm(F.col("embedding")) > 0).select(*keys, "unit_id", "embedding")
-    counts = usable.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias("blocks"))
-    dealt = usable.join(counts, list(keys)).withColumn("block", F.pmod(F.xxhash64("unit_id"), F.col("blocks")).cast("int"))
-    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = dealt.select(*keys, F.explode(all_blocks).alias("y"), F.col("block").alias("x"), "unit_id", "embedding", F.lit(0).alias("side"))
-    right = dealt.select(*keys, F.col("block").alias("y"), F.explode(all_blocks).alias("x"), "unit_id", "embedding", F.lit(1).alias("side"))
-    id_type = units.schema["unit_id"].dataType.simpleString()
-
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame.side == 0], frame[frame.side == 1]
-        out = {"from_unit": [], "to_unit": [], "weight": []}
-        if len(a) and len(b):
-            va, vb = (np.stack([np.asarray(v, dtype=np.float64) for v in f.embedding]) for f in (a, b))
-            va, vb = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (va, vb))
-            ida, idb = a.unit_id.to_numpy(), b.unit_id.to_numpy()
-            similar = np.round(np.clip(va @ vb.T, 0.0, 1.0), 6)
-            for i, row in enumerate(similar):
-                near = np.flatnonzero((row >= floor) & (idb != ida[i]))
-                near = near[np.lexsort((idb[near], -row[near]))][:k]
-                out["from_unit"] += [ida[i]] * len(near)
-                out["to_unit"] += idb[near].tolist()
-                out["weight"] += row[near].tolist()
-        return pd.DataFrame(out)
-
-    found = left.unionByName(right).groupBy(*keys, "x", "y").applyInPandas(best, f"from_unit {id_type}, to_unit {id_type}, weight double")
-    return cap_links(found, k).withColumn("link_type", F.lit("semantic"))
+    usable = units.where(norm(F.col("embedding")) > 0)
+    asked = usable.select(*keys, F.col("unit_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = nearest(asked, usable, None if k is None else k + 1, floor, partition=keys, digits=6).where("query_id <> unit_id")
+    links = found.select(F.col("query_id").alias("from_unit"), F.col("unit_id").alias("to_unit"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("weight"))
+    return (links if k is None else cap_links(links, k)).withColumn("link_type", F.lit("semantic"))
 
 
 def pairs(postings: DataFrame, unit: str, entity: str) -> DataFrame:
@@ -158,21 +137,20 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``node`` and its ``root``, the smallest node it is connected to, for edges (``a``, ``b``).
 
     Every round takes the smallest label among neighbours and then the label's own
-    label; rounds are checkpointed.
+    label; rounds are checkpointed.  Labels that have not settled after ``rounds``
+    rounds are an error.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    both = settled(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")))
     for _ in range(rounds):
-        labels = labels.checkpoint()
         near = both.join(labels.withColumnsRenamed({"node": "b", "root": "m"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("m"))
-        better = labels.join(near, "node").select("node", F.least("root", "m").alias("root"))
-        jump = better.alias("x").join(better.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("x.root") == F.col("n2"), "left")
-        new = jump.select("node", F.least("x.root", F.coalesce("r2", "x.root")).alias("root"), F.col("x.root").alias("old"))
-        changed = new.drop("old").exceptAll(labels)
+        better = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        theirs = better.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
+        new = settled(better.join(theirs, F.col("root") == F.col("n2"), "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root"), "old"))
         labels = new.drop("old")
-        if changed.isEmpty():
+        if new.where("root <> old").isEmpty():
             return labels
-    return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def bidirectional_max(links: DataFrame) -> DataFrame:
@@ -184,7 +162,3 @@ def bidirectional_max(links: DataFrame) -> DataFrame:
 def latest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row for each key, the first in an order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
-
-
-def zero_guarded(a: Column, b: Column) -> Column:
-    return cosine(a, b)

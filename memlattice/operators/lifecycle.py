@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,13 +36,67 @@ def fold(queue: DataFrame, keys: Sequence[str], order: str, tokens: str, peers:
     return each.where((F.col("place") == 1) | ((F.col("place") <= peers) & (F.col("used") <= budget)))
 
 
-def claimable(tasks: DataFrame, now: Column, key: str = "serialization_key", slots: int = 10) -> DataFrame:
-    """Pending, due tasks, one for each key that is not busy, oldest first, up to ``slots``."""
-    busy = tasks.where("status = 'processing'").select(key).distinct()
-    due = tasks.where((F.col("status") == "pending") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now)))
-    first = F.row_number().over(Window.partitionBy(key).orderBy("created_at", "operation_id"))
-    free = due.join(busy, key, "left_anti").withColumn("r", first).where("r = 1").drop("r")
-    return free.orderBy("created_at", "operation_id").limit(slots)
+def claimable(tasks: DataFrame, now: Column, keys: Sequence[str] = ("serialization_key",), shared: int = 10, reserved: Mapping[str, int] | None = None) -> DataFrame:
+    """Tasks that a worker takes: pending and due, with ``slot``, the type a slot is reserved for or shared.
+
+    Of all tasks equal in a key (bank, document, ...) one may run: none is taken while
+    another is processing, and of several the first by ``priority`` (lower first), time
+    and id.  A null key serializes nothing.  ``reserved`` slots of a type go to its
+    first tasks; what is left competes for the ``shared`` ones.
+    """
+    order = ["priority", "created_at", "operation_id"]
+    free = tasks.where((F.col("status") == "pending") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now)))
+    for key in keys:
+        busy = tasks.where("status = 'processing'").select(key).where(F.col(key).isNotNull()).distinct()
+        free = free.join(busy, key, "left_anti")
+        # Without a key each row is a partition of its own, so that such rows do not meet in one task.
+        own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("-"), F.col("operation_id").cast("string")))
+        first = F.row_number().over(Window.partitionBy(F.col(key).isNull(), own).orderBy(*order))
+        free = free.withColumn("_r", first).where("_r = 1").drop("_r")
+    slots = None
+    for kind, n in (reserved or {}).items():
+        mine = free.where(F.col("type") == kind).orderBy(*order).limit(n).withColumn("slot", F.lit(kind))
+        slots = mine if slots is None else slots.unionByName(mine)
+    rest = free if slots is None else free.join(slots.select("operation_id"), "operation_id", "left_anti")
+    rest = rest.orderBy(*order).limit(shared).withColumn("slot", F.lit("shared"))
+    return rest if slots is None else slots.unionByName(rest)
+
+
+def next_state(tasks: DataFrame, now: Column, most_retries: int, backoff_seconds: int = 60) -> DataFrame:
+    """Tasks after an ``outcome``: done, error (retried up to ``most_retries`` times, later each time, then failed) or defer (again at ``defer_until``, not a retry)."""
+    error, defer = F.col("outcome") == "error", F.col("outcome") == "defer"
+    again = error & (F.col("retry_count") < most_retries)
+    status = F.when(F.col("outcome") == "done", "completed").when(again | defer, "pending").when(error, "failed").otherwise(F.col("status"))
+    wait = now + F.make_dt_interval(secs=(F.lit(backoff_seconds) * F.pow(F.lit(2), F.col("retry_count"))).cast("decimal(18,6)"))
+    at = F.when(again, wait).when(defer, F.col("defer_until"))
+    return tasks.withColumns({"status": status, "next_retry_at": at, "retry_count": F.col("retry_count") + again.cast("int")})
+
+
+def prunable(tasks: DataFrame, cutoff: Column) -> DataFrame:
+    """Ended tasks older than the cutoff, without those whose children still run; a parent that waits for none but ended children is ``cancelled``."""
+    ended = F.col("status").isin("completed", "failed", "cancelled")
+    children = tasks.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("operation_id")).agg(F.count_if(~ended).alias("open"), F.count("*").alias("children"))
+    each = tasks.join(children, "operation_id", "left")
+    gone = ended & (F.col("updated_at") < cutoff) & (F.coalesce("open", F.lit(0)) == 0)
+    waiting = ~ended & (F.col("children") > 0) & (F.col("open") == 0)
+    return each.where(gone | waiting).select("operation_id", F.when(waiting, "cancelled").otherwise("pruned").alias("action"))
+
+
+def without_sources(observations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Observations (``obs_id``, ``unit_id`` rows) that lost a source, and their other sources, which are to be consolidated again."""
+    stale = observations.join(gone.select("unit_id"), "unit_id", "left_semi").select("obs_id").distinct()
+    rest = observations.join(stale, "obs_id", "left_semi").join(gone.select("unit_id"), "unit_id", "left_anti")
+    return stale, rest.select("unit_id").distinct()
+
+
+def transcript_increment(lines: DataFrame, seen: DataFrame) -> DataFrame:
+    """Lines (``source``, ``offset``, ``content``, ``complete``) not indexed yet, by source, offset and content hash; an incomplete last line waits.
+
+    Where the source shrank or was rewritten its lines have other offsets or hashes,
+    and are read again.
+    """
+    keyed = lines.where("complete").withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
+    return keyed.join(seen.select("source", "offset", "content_hash"), ["source", "offset", "content_hash"], "left_anti")
 
 
 def retained(df: DataFrame, at: str, cutoff: Column) -> DataFrame:

@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.config import DEFAULT, Config
 from memlattice.functions.scoring import ADDITIVE_BOOST, RRF_BOOST, cosine, graph_score, passthrough, reciprocal_rank
 from memlattice.functions.texts import tokens
+from memlattice.storage import settled
+
+#: Rows of queries and of units that meet in one task.
+QUERY_BLOCK, UNIT_BLOCK = 1000, 20_000
 
 
 def ranked(df: DataFrame, keys: Sequence[str], *order: Column, most: int | None = None, name: str = "rank") -> DataFrame:
@@ -23,26 +29,77 @@ def ranked(df: DataFrame, keys: Sequence[str], *order: Column, most: int | None
 
 
 def semantic(queries: DataFrame, units: DataFrame, most: int, floor: float = DEFAULT.semantic_floor, keys: Sequence[str] = ("kind",), digits: int | None = None) -> DataFrame:
-    """Units by cosine similarity to each query (``query_id``, ``vector``), the best of each kind.
+    """Units by cosine similarity to each query (``query_id``, ``vector``), the best of each kind; zero vectors score 0.
 
-    Queries are the small side of an exact scan: their vectors go to the units.
+    An exact scan in blocks: each block of queries meets each block of units in a
+    matrix product, and only the best ``most`` of a query and kind leave it, so what is
+    shuffled is bounded by the blocks and not by queries times units.
     """
-    scored = units.join(F.broadcast(queries.select("query_id", "vector")) if small(queries) else queries.select("query_id", "vector"), how="cross")
-    score = cosine(F.col("vector"), F.col("embedding"))
-    scored = scored.select("query_id", *keys, "unit_id", (F.round(score, digits) if digits else score).alias("score")).where(F.col("score") >= floor)
-    return ranked(scored, ["query_id", *keys], F.desc("score"), F.asc("unit_id"), most=most).withColumn("arm", F.lit("semantic"))
-
+    return ranked(nearest(queries, units, most, floor, keys, digits), ["query_id", *keys], F.desc("score"), F.asc("unit_id"), most=most).withColumn("arm", F.lit("semantic"))
 
-def small(df: DataFrame, rows: int = 10_000) -> bool:
-    """Whether a side has few enough rows to be sent to every executor."""
-    return len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows
 
+def nearest(queries: DataFrame, units: DataFrame, most: int | None, floor: float, keys: Sequence[str] = (), digits: int | None = None, partition: Sequence[str] = ()) -> DataFrame:
+    """``query_id``, ``unit_id``, ``score`` (and ``keys``) of what is at least ``floor``, from each pair of blocks at most ``most`` a query and key.
 
-def document_frequencies(units: DataFrame, text: str = "text") -> DataFrame:
+    Both sides are dealt by hash into blocks of QUERY_BLOCK and UNIT_BLOCK rows; with
+    ``partition`` only rows equal in these columns meet.
+    """
+    from pyspark.sql import types as T
+
+    by = list(partition)
+    count = lambda df, rows: df.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).cast("int").alias("blocks"))
+    q = queries.select(*by, "query_id", F.col("vector").cast("array<double>").alias("v"))
+    u = units.select(*by, *(k for k in keys if k not in by), "unit_id", F.col("embedding").cast("array<double>").alias("v"))
+    nq, nu = count(q, QUERY_BLOCK).withColumnRenamed("blocks", "nq"), count(u, UNIT_BLOCK).withColumnRenamed("blocks", "nu")
+    sizes = nq.join(nu, by) if by else nq.crossJoin(nu)  # a row for each value of partition
+    meet = lambda df: df.join(sizes, by) if by else df.crossJoin(F.broadcast(sizes))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    again = [F.col(c).alias(c) for c in by]  # columns of their own where both sides come from one table
+    q = meet(q).select(*again, home("query_id", "nq").alias("x"), every("nu").alias("y"), "query_id", "v")
+    u = meet(u).select(*by, every("nq").alias("x"), home("unit_id", "nu").alias("y"), *(k for k in keys if k not in by), "unit_id", "v")
+    kinds = {f.name: f.dataType for f in (*queries.schema, *units.schema)}
+    names = ["query_id", *keys, "unit_id", "score"]
+    schema = T.StructType([T.StructField(n, kinds.get(n, T.DoubleType())) for n in names[:-1]] + [T.StructField("score", T.DoubleType())])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n in names})
+        a, b = (np.stack(f["v"].to_numpy()) for f in (left, right))
+        a, b = (v / np.where(n > 0, n, 1)[:, None] for v, n in ((v, np.linalg.norm(v, axis=1)) for v in (a, b)))
+        order = right["unit_id"].argsort(kind="stable").to_numpy()
+        right, b = right.iloc[order], b[order]
+        groups = right.groupby(list(keys), dropna=False).indices.values() if keys else [np.arange(len(right))]
+        found = []
+        for start in range(0, len(a), 256):
+            score = a[start : start + 256] @ b.T
+            score = np.round(score, digits) if digits else score
+            for rows in groups:
+                for k, line in enumerate(score[:, rows]):
+                    good = np.flatnonzero(line >= floor)
+                    if most is not None and len(good) > most:
+                        good = good[np.argsort(-line[good], kind="stable")[:most]]
+                    found.append((np.full(len(good), start + k), rows[good], line[good]))
+        at, to, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        columns = {"query_id": left["query_id"].to_numpy()[at], **{k: right[k].to_numpy()[to] for k in keys}, "unit_id": right["unit_id"].to_numpy()[to], "score": score + 0.0}
+        return pd.DataFrame(columns)
+
+    return q.groupBy(*by, "x", "y").cogroup(u.groupBy(*by, "x", "y")).applyInPandas(best, schema)
+
+
+def document_frequencies(units: DataFrame, text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """Units that hold each term; with ``wanted`` (column ``term``) only those terms are counted and shuffled."""
     each = units.select("unit_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    if wanted is not None:
+        each = each.join(wanted.select("term").distinct(), "term", "left_semi")
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """The distinct terms of all queries."""
+    return queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+
+
 def selective_terms(queries: DataFrame, frequencies: DataFrame, most: int = DEFAULT.keyword_terms, stop: Sequence[str] = ()) -> DataFrame:
     """Each query's rarest terms, in their own order; without any but stop words, its first ones."""
     each = queries.select("query_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
@@ -85,9 +142,6 @@ def entity_expansion(seeds: DataFrame, postings: DataFrame, fanout: int = DEFAUL
     return found.join(seeds.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti")
 
 
-_shared = entity_expansion
-
-
 def link_expansion(seeds: DataFrame, links: DataFrame, both: bool = True, keep_seeds: bool = False) -> DataFrame:
     """Units linked to a query's seeds with their strongest link; outgoing links only unless ``both``."""
     ways = links.select(F.col("from_unit").alias("seed"), F.col("to_unit").alias("unit_id"), "weight")
@@ -110,9 +164,9 @@ def graph_merge(entities: DataFrame, semantic_links: DataFrame, causal_links: Da
     return ranked(merged, ["query_id"], F.desc("score"), F.asc("unit_id"), most=most).withColumn("arm", F.lit("graph"))
 
 
-def graph_arm(seeds: DataFrame, postings: DataFrame, semantic_links: DataFrame, causal_links: DataFrame, most: int, entity_expansion: bool = True, fanout: int = DEFAULT.entity_fanout) -> DataFrame:
-    """The graph arm from its seeds; without ``entity_expansion``, its costly part, links alone decide."""
-    shared = _shared(seeds, postings, fanout) if entity_expansion else seeds.select("query_id", "unit_id", F.lit(0).alias("shared")).where("false")
+def graph_arm(seeds: DataFrame, postings: DataFrame, semantic_links: DataFrame, causal_links: DataFrame, most: int, expand_entities: bool = True, fanout: int = DEFAULT.entity_fanout) -> DataFrame:
+    """The graph arm from its seeds; without ``expand_entities``, its costly part, links alone decide."""
+    shared = entity_expansion(seeds, postings, fanout) if expand_entities else seeds.select("query_id", "unit_id", F.lit(0).alias("shared")).where("false")
     return graph_merge(shared, link_expansion(seeds, semantic_links), link_expansion(seeds, causal_links, both=False, keep_seeds=True), most)
 
 
@@ -195,14 +249,16 @@ def spread(entries: DataFrame, links: DataFrame, config: Config = DEFAULT, decay
     expands at most ``spread_batch`` units of a query, so rounds stay small.
     """
     place = lambda df: ranked(df, ["query_id"], F.desc("score"), F.asc("unit_id"), name="place")
-    front = place(entries.select("query_id", "unit_id", "score"))
+    front = settled(place(entries.select("query_id", "unit_id", "score")))
     reached = front.select("query_id", "unit_id", "score", F.lit(0).alias("round"))
-    strongest = ranked(links.where("weight >= 0.1"), ["from_unit"], F.desc("weight"), F.asc("to_unit"), most=config.spread_neighbours, name="r")
+    links = links.where("weight >= 0.1").select("from_unit", "to_unit", "weight")
     for turn in range(1, config.spread_rounds + 1):
         batch = front.where((F.col("place") <= config.spread_batch) & (F.col("score") > stop))
+        # Only links of the units in hand are ranked; each round is computed once and read from the shared folder.
+        near = links.join(batch.select(F.col("unit_id").alias("from_unit")).distinct(), "from_unit", "left_semi")
+        strongest = ranked(near, ["from_unit"], F.desc("weight"), F.asc("to_unit"), most=config.spread_neighbours, name="r")
         steps = batch.join(strongest, batch.unit_id == strongest.from_unit).select("query_id", F.col("to_unit").alias("unit_id"), (F.col("score") * F.col("weight") * decay).alias("score"), "place", "weight", "from_unit")
         first = ranked(steps, ["query_id", "unit_id"], F.asc("place"), F.desc("weight"), F.asc("from_unit"), most=1, name="k")
-        new = first.join(reached, ["query_id", "unit_id"], "left_anti").select("query_id", "unit_id", "score")
-        front = place(new)
-        reached = reached.unionByName(front.select("query_id", "unit_id", "score", F.lit(turn).alias("round")))
+        front = settled(place(first.join(reached, ["query_id", "unit_id"], "left_anti").select("query_id", "unit_id", "score")))
+        reached = settled(reached.unionByName(front.select("query_id", "unit_id", "score", F.lit(turn).alias("round"))))
     return reached

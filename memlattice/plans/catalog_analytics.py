@@ -170,9 +170,10 @@ def _(t):
     return t.customer.select("c_custkey").join(each, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), "newest")
 
 
-@query("j4_orphan_entities", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("j4_orphan_entities", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2000-06-01')")
 def _(t):
-    return graph.orphans(t.customer.select("c_custkey", "c_name"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    recent = t.orders.where(F.col("o_orderdate") >= F.lit("2000-06-01").cast("timestamp_ntz"))
+    return graph.orphans(t.customer.select("c_custkey", "c_name"), recent.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("j5_stale_pairs", f"SELECT s_suppkey AS e1, s_suppkey + 1 AS e2 FROM supplier WHERE NOT EXISTS (SELECT 1 FROM {_PAIRS} p WHERE p.e1 = s_suppkey AND p.e2 = s_suppkey + 1)")
@@ -323,7 +324,11 @@ def _(t):
     return pack(t.conversations, ["conv_id"], "turn", token_estimate(F.col("text")), 60, floor_of_one=False)
 
 
-@query("r24_source_budget")
+@query("r24_source_budget", """WITH RECURSIVE items AS MATERIALIZED (SELECT l_orderkey, CAST(l_suppkey % 5 AS INTEGER) AS o, CAST(l_quantity AS BIGINT) AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey % 5, CAST(l_quantity AS BIGINT)) AS r FROM lineitem),
+    taken AS (SELECT l_orderkey, 0 AS r, CAST(0 AS BIGINT) AS used, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS each, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+        UNION ALL SELECT l_orderkey, nr, used + own, list_transform(each, lambda x, k: CASE WHEN k = o + 1 THEN x + own ELSE x END), n + CASE WHEN fits THEN 1 ELSE 0 END
+        FROM (SELECT *, CASE WHEN fits THEN size ELSE 0 END AS own FROM (SELECT t.l_orderkey, t.used, t.each, t.n, i.o, i.size, CAST(i.r AS INTEGER) AS nr, t.used + i.size <= 120 AND t.each[i.o + 1] + i.size <= 60 AS fits FROM taken t JOIN items i ON i.l_orderkey = t.l_orderkey AND i.r = t.r + 1)))
+    SELECT l_orderkey, arg_max(used, r) AS used, arg_max(n, r) AS n FROM taken GROUP BY 1""")
 def _(t):
     lines = t.lineitem.withColumn("o", F.col("l_suppkey") % 5)
     return pack_sources(lines, ["l_orderkey"], "o", "l_linenumber", F.col("l_quantity"), 120, 60)
@@ -388,11 +393,18 @@ def _(t):
     return lifecycle.fold(sized, ["conv_id"], "turn", "size", 16, 600).select("conv_id", "turn")
 
 
-@query("t4_claimable", "SELECT o_orderkey AS operation_id, o_custkey AS serialization_key FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) WHERE r = 1 ORDER BY o_orderdate, o_orderkey LIMIT 25")
+@query("t4_claimable", """WITH due AS (SELECT o_orderkey AS operation_id, o_custkey AS bank, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 500 END AS document, o_orderpriority AS type, CAST(left(o_orderpriority, 1) AS INTEGER) AS priority, o_orderdate AS created_at, o_orderstatus AS s FROM orders),
+    busy AS (SELECT * FROM due WHERE s = 'P' AND operation_id % 4 = 0),
+    a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY priority, created_at, operation_id) AS r FROM due WHERE s = 'O' AND bank NOT IN (SELECT bank FROM busy)) WHERE r = 1),
+    b AS (SELECT * FROM (SELECT * EXCLUDE r, row_number() OVER (PARTITION BY document ORDER BY priority, created_at, operation_id) AS r FROM a WHERE document IS NULL OR document NOT IN (SELECT document FROM busy WHERE document IS NOT NULL)) WHERE r = 1 OR document IS NULL),
+    mine AS (SELECT operation_id, type AS slot FROM b WHERE type = '5-LOW' ORDER BY priority, created_at, operation_id LIMIT 5),
+    rest AS (SELECT operation_id, 'shared' AS slot FROM b WHERE operation_id NOT IN (SELECT operation_id FROM mine) ORDER BY priority, created_at, operation_id LIMIT 25)
+    SELECT * FROM mine UNION ALL SELECT * FROM rest""")
 def _(t):
-    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "processing").otherwise("done")
-    tasks = t.orders.select(F.col("o_orderkey").alias("operation_id"), F.col("o_custkey").alias("serialization_key"), status.alias("status"), F.lit(None).cast("timestamp_ntz").alias("next_retry_at"), F.col("o_orderdate").alias("created_at"))
-    return lifecycle.claimable(tasks, F.lit("1998-01-01").cast("timestamp_ntz"), slots=25).select("operation_id", "serialization_key")
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 4 == 0), "processing").otherwise("completed")
+    document = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 500)
+    tasks = t.orders.select(F.col("o_orderkey").alias("operation_id"), F.col("o_custkey").alias("bank"), document.alias("document"), F.col("o_orderpriority").alias("type"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), status.alias("status"), F.lit(None).cast("timestamp_ntz").alias("next_retry_at"), F.col("o_orderdate").alias("created_at"))
+    return lifecycle.claimable(tasks, F.lit("1998-01-01").cast("timestamp_ntz"), ["bank", "document"], 25, {"5-LOW": 5}).select("operation_id", "slot")
 
 
 @query("t7_retention", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")

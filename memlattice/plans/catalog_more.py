@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlattice.functions import texts, times
+from memlattice.functions.scoring import cosine
 from memlattice.operators import aggregates as agg
 from memlattice.operators import evidence, graph, lifecycle, retrieval
 from memlattice.plans import views
@@ -148,12 +149,13 @@ def _(t):
 
 
 _TOK = r"list_distinct(list_filter(string_split_regex(lower({c}), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> ''))"
-_ASKED = "['steel', 'promo', 'tin', 'large']"
+_ASKED = "['small', 'ring', 'promo', 'large']"
 
 
-@query("r29_lexical_cache", f"SELECT p_partkey, h AS hits, round(0.34 + 0.055 * h + 0.4 * h / 4.0 + CASE WHEN contains(lower(p_type), 'promo') THEN 0.16 ELSE 0 END, 6) AS score FROM (SELECT *, len(list_intersect({_TOK.format(c='p_type')}, {_ASKED})) AS h FROM part) WHERE h >= 2")
+@query("r29_lexical_cache", f"SELECT p_partkey, h AS hits, round(0.34 + 0.055 * h + 0.4 * h / 4.0 + CASE WHEN contains(lower(w), 'small ring') THEN 0.16 ELSE 0 END, 6) AS score FROM (SELECT *, len(list_intersect({_TOK.format(c='w')}, {_ASKED})) AS h FROM (SELECT *, p_name || ' ' || p_type AS w FROM part)) WHERE h >= 2")
 def _(t):
-    return evidence.lexical_search(t.part, F.col("p_type"), ["steel", "promo", "tin", "large"], "promo").select("p_partkey", "hits", "score")
+    rows = t.part.withColumn("w", F.concat_ws(" ", "p_name", "p_type"))
+    return evidence.lexical_search(rows, F.col("w"), ["small", "ring", "promo", "large"], "small ring").select("p_partkey", "hits", "score")
 
 
 @query("r31_weighted_terms", "SELECT p_partkey, round(3.0 * (CASE WHEN contains(lower(p_type), 'steel') THEN 1 ELSE 0 END) + 0.55 * (CASE WHEN contains(lower(p_type), 'ste') THEN 1 ELSE 0 END) + 0.25 * (CASE WHEN contains(lower(p_type), 'st') THEN 1 ELSE 0 END) + CASE WHEN p_size > 25 THEN 6 ELSE 0 END, 6) AS score FROM part")
@@ -162,16 +164,24 @@ def _(t):
     return t.part.select("p_partkey", F.round(evidence.weighted_terms(F.lower("p_type"), weights) + F.when(F.col("p_size") > 25, 6.0).otherwise(0.0), 6).alias("score"))
 
 
-@query("r33_hybrid_files", f"SELECT p_partkey, round(len(list_intersect({_TOK.format(c='p_type')}, {_ASKED})) / 4.0 + p_size / 50.0, 6) AS score FROM part")
+@query("r33_hybrid_files", f"SELECT p_partkey, round(0.6 * len(list_intersect({_TOK.format(c='p_name')}, {_ASKED})) / 4.0 + 0.4 * greatest(0.0, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS score FROM part JOIN embeddings e ON e.vec_id = p_partkey CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
 def _(t):
-    shared = F.size(F.array_intersect(texts.tokens(F.col("p_type")), F.array(*map(F.lit, ["steel", "promo", "tin", "large"]))))
-    return t.part.select("p_partkey", F.round(shared / 4 + F.col("p_size") / 50, 6).alias("score"))
+    shared = F.size(F.array_intersect(texts.tokens(F.col("p_name")), F.array(*map(F.lit, ["small", "ring", "promo", "large"]))))
+    asked = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    both = t.part.join(t.embeddings, F.col("vec_id") == F.col("p_partkey")).crossJoin(F.broadcast(asked))  # one row
+    near = F.greatest(F.lit(0.0), cosine(F.col("embedding"), F.col("q")))
+    return both.select("p_partkey", F.round(0.6 * shared / 4 + 0.4 * near, 6).alias("score"))
 
 
-@query("r34_claims", r"SELECT slot, claim, CAST(min(tokens) AS BIGINT) AS tokens, max(authority) AS authority, count(*) AS n FROM (SELECT lang AS slot, md5(trim(regexp_replace(lower(substring(text, 1, 200)), '[ \t\n\r\f]+', ' ', 'g'))) AS claim, ceil(length(text) / 4.0) AS tokens, doc_id AS authority FROM documents) GROUP BY 1, 2")
+@query("r34_claims", r"""WITH k AS (SELECT lang AS slot, trim(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g')) AS claim, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, doc_id AS authority FROM documents
+        UNION ALL SELECT lang, trim(regexp_replace(lower(substring(text, 1, 60 + CAST(doc_id % 3 AS INTEGER) * 30)), '[ \t\n\r\f]+', ' ', 'g')), 7, doc_id FROM documents WHERE doc_id % 5 = 0),
+    d AS (SELECT DISTINCT slot, claim FROM k),
+    root AS (SELECT d.slot, d.claim, coalesce(arg_min(p.claim, length(p.claim)), d.claim) AS root FROM d LEFT JOIN d p ON p.slot = d.slot AND length(p.claim) >= 48 AND left(p.claim, 48) = left(d.claim, 48) AND starts_with(d.claim, p.claim) GROUP BY 1, 2)
+    SELECT slot, md5(root) AS claim, min(tokens) AS tokens, max(authority) AS authority, count(*) AS n FROM k JOIN root USING (slot, claim) GROUP BY 1, 2""")
 def _(t):
-    rows = t.documents.select(F.col("lang").alias("slot"), F.substring("text", 1, 200).alias("claim"), texts.token_estimate(F.col("text")).alias("tokens"), F.col("doc_id").alias("authority"))
-    return evidence.claims(rows).withColumn("claim", F.md5(F.col("claim").cast("binary")))
+    rows = t.documents.select(F.col("lang").alias("slot"), F.col("text").alias("claim"), texts.token_estimate(F.col("text")).alias("tokens"), F.col("doc_id").alias("authority"))
+    begun = t.documents.where("doc_id % 5 = 0").select("lang", F.substring("text", F.lit(1), (60 + F.col("doc_id") % 3 * 30).cast("int")), F.lit(7).cast("long"), "doc_id")
+    return evidence.claims(rows.union(begun)).withColumn("claim", F.md5(F.col("claim").cast("binary")))
 
 
 @query("r35_slot_coverage", "SELECT o_custkey, array_to_string(list_sort(list_filter(['1-URGENT', '2-HIGH', '5-LOW'], lambda x: NOT list_contains(list(DISTINCT o_orderpriority), x))), ',') AS missing FROM orders GROUP BY 1")
@@ -181,9 +191,9 @@ def _(t):
 
 
 @query("g5_batch_semantic_links", """SELECT a.vec_id AS from_unit, b.vec_id AS to_unit, round(least(1.0, greatest(0.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS weight FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
-    WHERE round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) >= 0.7""")
+    WHERE round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) >= 0.25""")
 def _(t):
-    return graph.semantic_links(vector_units(t), ["kind"], 1_000_000, 0.7).select("from_unit", "to_unit", "weight")
+    return graph.semantic_links(vector_units(t), ["kind"], None, 0.25).select("from_unit", "to_unit", "weight")
 
 
 @query("g9_prune", f"SELECT 'entity' AS what, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'pair', count(*) FROM supplier WHERE NOT EXISTS (SELECT 1 FROM {P} a JOIN {P} b ON a.unit_id = b.unit_id WHERE a.entity_id = s_suppkey AND b.entity_id = s_suppkey + 1)")
@@ -196,8 +206,11 @@ def _(t):
 
 @query("g12_token_compatibility")
 def _(t):
-    names = t.supplier.select("s_suppkey", F.col("s_name").alias("a")).crossJoin(F.broadcast(t.nation.select(F.col("n_name").alias("b"))))
-    return evidence.token_compatible(names, "a", "b").where("compatible").select("s_suppkey", "b")
+    """Names of parts that share a word, the second with a letter lost: which are alike word by word."""
+    names = t.part.select(F.col("p_name").alias("a"), F.explode(texts.tokens(F.col("p_name"))).alias("w")).distinct()
+    other = names.select(F.col("a").alias("b0"), "w")
+    pairs = names.join(other, "w").select("a", F.regexp_replace("b0", "([a-z]{2})[a-z]", "$1").alias("b")).distinct()
+    return evidence.token_compatible(pairs, "a", "b").where("compatible").select("a", "b")
 
 
 @query("g16_canonical_pairs", "SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey")
@@ -213,10 +226,12 @@ def _(t):
     return out.union(back).distinct()
 
 
-@query("g19_topic_assignment", "SELECT n_regionkey AS root, count(*) AS members, count(DISTINCT c_nationkey) AS leaves FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@query("g19_topic_assignment", """WITH m AS (SELECT c_nationkey AS leaf, n_regionkey AS root, c_custkey AS unit_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT root, count(*) AS members, count(DISTINCT leaf) AS leaves, array_to_string(list(unit_id ORDER BY r) FILTER (r <= 12), ',') AS samples FROM m GROUP BY 1""")
 def _(t):
-    each = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("m")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return each.groupBy(F.col("n_regionkey").alias("root")).agg(F.sum("m").alias("members"), F.count("*").alias("leaves"))
+    leaf = t.nation.select(F.col("n_nationkey").alias("leaf"), F.col("n_regionkey").alias("root"))
+    members = t.customer.select(F.col("c_nationkey").alias("leaf"), F.col("c_custkey").alias("unit_id"), F.col("c_acctbal").alias("weight"))
+    return evidence.topics(members, leaf, 12).select("root", "members", "leaves", F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples"))
 
 
 @query("c2_mark_consolidated", "SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN TIMESTAMP '1998-01-01' END AS consolidated_at FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
@@ -237,21 +252,30 @@ def _(t):
     return scopes.join(each, "scope", "left").groupBy("scope").agg(F.count("unit_id").alias("n"))
 
 
-@query("c7_dedup_probe", """SELECT from_unit, to_unit FROM (SELECT *, row_number() OVER (PARTITION BY from_unit ORDER BY w DESC, to_unit) AS r FROM (
-    SELECT a.vec_id AS from_unit, b.vec_id AS to_unit, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS w FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE w >= 0.97) WHERE r <= 5""")
+@query("c7_dedup_probe", """WITH u AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, label, embedding FROM embeddings WHERE vec_id % 7 = 0)
+    SELECT from_unit, to_unit FROM (SELECT *, row_number() OVER (PARTITION BY from_unit ORDER BY w DESC, to_unit) AS r FROM (
+    SELECT a.vec_id AS from_unit, b.vec_id AS to_unit, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS w FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE w >= 0.97) WHERE r <= 5""")
 def _(t):
-    return graph.semantic_links(vector_units(t), ["kind"], 5, 0.97).select("from_unit", "to_unit")
+    units = vector_units(t)
+    copies = units.where("unit_id % 7 = 0").withColumn("unit_id", F.col("unit_id") + 1000000)
+    return graph.semantic_links(units.union(copies), ["kind"], 5, 0.97).select("from_unit", "to_unit")
 
 
-@query("c10_stale_observations", "SELECT DISTINCT l_orderkey AS observation FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1)")
+@query("c10_stale_observations", """WITH o AS (SELECT DISTINCT l_suppkey AS obs_id, l_orderkey AS unit_id FROM lineitem), gone AS (SELECT o_orderkey AS unit_id FROM orders WHERE o_totalprice > 499000),
+    stale AS (SELECT DISTINCT obs_id FROM o JOIN gone USING (unit_id))
+    SELECT 'delete' AS what, obs_id AS id FROM stale UNION ALL SELECT DISTINCT 'requeue', unit_id FROM o JOIN stale USING (obs_id) WHERE unit_id NOT IN (SELECT unit_id FROM gone)""")
 def _(t):
-    gone = t.part.where("p_size = 1").select(F.col("p_partkey").alias("l_partkey"))
-    return t.lineitem.join(gone, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("observation")).distinct()
+    observations = t.lineitem.select(F.col("l_suppkey").alias("obs_id"), F.col("l_orderkey").alias("unit_id")).distinct()
+    gone = t.orders.where("o_totalprice > 499000").select(F.col("o_orderkey").alias("unit_id"))
+    stale, again = lifecycle.without_sources(observations, gone)
+    return stale.select(F.lit("delete").alias("what"), F.col("obs_id").alias("id")).union(again.select(F.lit("requeue"), "unit_id"))
 
 
-@query("c12_staleness", "SELECT max(ts) > TIMESTAMP '2024-01-29' AS stale FROM events WHERE event_type = 'purchase'")
+@query("c12_staleness", """WITH s AS (SELECT DISTINCT user_id, TIMESTAMP '2024-01-01' + CAST(user_id % 31 AS INTEGER) * INTERVAL 1 DAY AS seen FROM events) SELECT user_id, coalesce(max(ts) > seen, false) AS stale FROM s LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'purchase') USING (user_id) GROUP BY user_id, seen""")
 def _(t):
-    return t.events.where("event_type = 'purchase'").agg((F.max("ts") > F.lit("2024-01-29").cast("timestamp_ntz")).alias("stale"))
+    seen = (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("user_id") % 31).cast("int"))).alias("seen")
+    models = t.events.select("user_id").distinct().select("user_id", seen)
+    return lifecycle.stale_scopes(models, t.events.where("event_type = 'purchase'"), "user_id", "ts")
 
 
 @query("c16_due_refreshes", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
@@ -260,10 +284,20 @@ def _(t):
     return t.customer.where("c_mktsegment = 'AUTOMOBILE'").join(busy, "c_custkey", "left_anti").select("c_custkey")
 
 
+def _operations(t):
+    """A conversation's turns as operations of every kind on one of four sections."""
+    op = F.get(F.array(*map(F.lit, ["add_section", "append_block", "insert_block", "append_block", *evidence.OPERATIONS])), (F.abs(F.xxhash64("conv_id", "turn")) % 12).cast("int"))
+    number = lambda label, n: F.concat(F.lit("b"), (F.abs(F.xxhash64("turn", "conv_id", F.lit(label))) % n + 1).cast("string"))
+    section = F.concat(F.lit("s"), (F.abs(F.xxhash64("turn", F.lit("section"))) % 2).cast("string"))
+    start = t.conversations.select(F.col("conv_id").alias("doc_id"), F.explode(F.array(F.lit(-2), F.lit(-1))).alias("seq")).distinct()
+    start = start.select("doc_id", "seq", F.lit("add_section").alias("op"), F.concat(F.lit("s"), (F.col("seq") + 2).cast("string")).alias("section"), F.lit(None).cast("string").alias("block"), F.lit(None).cast("string").alias("after"), F.lit("First").alias("text"))
+    after = F.when(op == "insert_block", F.when(F.col("turn") % 2 == 0, number("after", 3)))
+    return start.union(t.conversations.select("conv_id", "turn", op, section, number("block", 4), after, "text"))
+
+
 @query("c14_document_operations")
 def _(t):
-    lines = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.when(F.col("role") == "user", "append").when(F.col("role") == "assistant", "replace").otherwise("remove").alias("op"), (F.col("turn") % 3).cast("string").alias("section"), F.col("text"))
-    return evidence.apply_operations(lines)
+    return evidence.apply_operations(_operations(t)).select("doc_id", "place", "section", F.md5(F.array_join("blocks", "|").cast("binary")).alias("blocks"), "applied", "skipped")
 
 
 @query("t5_dirty_batch", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 50")
@@ -276,17 +310,23 @@ def _(t):
     return t.events.where(times.updated_within(F.col("ts"), F.lit("2024-01-25").cast("timestamp_ntz"))).select("event_id", "ts")
 
 
-@query("t8_terminal_pruning", "SELECT o_orderkey FROM orders a WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1995-01-01' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P')")
+@query("t8_terminal_pruning", """WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey - o_orderkey % 3 END AS parent, o_orderstatus = 'P' OR (o_orderstatus = 'O' AND o_orderkey % 3 = 0) AS open, o_orderdate AS ended FROM orders),
+    c AS (SELECT parent AS id, count(*) FILTER (open) AS n, count(*) AS children FROM t WHERE parent IS NOT NULL GROUP BY 1)
+    SELECT id AS operation_id, CASE WHEN open THEN 'cancelled' ELSE 'pruned' END AS action FROM t LEFT JOIN c USING (id) WHERE (NOT open AND ended < TIMESTAMP '1997-01-01' AND coalesce(n, 0) = 0) OR (open AND children > 0 AND n = 0)""")
 def _(t):
-    done = t.orders.where((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz")))
-    return done.join(t.orders.where("o_orderstatus = 'P'").select("o_custkey"), "o_custkey", "left_anti").select("o_orderkey")
+    open_ = (F.col("o_orderstatus") == "P") | ((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 3 == 0))
+    parent = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") - F.col("o_orderkey") % 3)
+    tasks = t.orders.select(F.col("o_orderkey").alias("operation_id"), parent.alias("parent_id"), F.when(open_, "pending").otherwise("completed").alias("status"), F.col("o_orderdate").alias("updated_at"))
+    return lifecycle.prunable(tasks, F.lit("1997-01-01").cast("timestamp_ntz"))
 
 
-@query("t9_retry_state", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN l >= 5 THEN 'failed' WHEN o_orderstatus = 'P' THEN 'deferred' ELSE 'retry' END AS state FROM orders JOIN (SELECT l_orderkey, count(*) AS l FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+@query("t9_retry_state", """WITH t AS (SELECT o_orderkey, o_orderstatus AS s, CAST(o_orderkey % 5 AS INTEGER) AS tries FROM orders)
+    SELECT o_orderkey, CASE WHEN s = 'F' THEN 'completed' WHEN s = 'P' OR tries < 3 THEN 'pending' ELSE 'failed' END AS status, tries + CASE WHEN s = 'O' AND tries < 3 THEN 1 ELSE 0 END AS retry_count,
+    CASE WHEN s = 'O' AND tries < 3 THEN TIMESTAMP '1998-01-01' + CAST(60 * pow(2, tries) AS INTEGER) * INTERVAL 1 SECOND WHEN s = 'P' THEN TIMESTAMP '1998-02-01' END AS next_retry_at FROM t""")
 def _(t):
-    tries = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("l"))
-    state = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("l") >= 5, "failed").when(F.col("o_orderstatus") == "P", "deferred").otherwise("retry")
-    return t.orders.join(tries, "o_orderkey").select("o_orderkey", state.alias("state"))
+    outcome = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "P", "defer").otherwise("error")
+    tasks = t.orders.select("o_orderkey", outcome.alias("outcome"), (F.col("o_orderkey") % 5).cast("int").alias("retry_count"), F.lit("processing").alias("status"), F.lit("1998-02-01").cast("timestamp_ntz").alias("defer_until"))
+    return lifecycle.next_state(tasks, F.lit("1998-01-01").cast("timestamp_ntz"), 3).select("o_orderkey", "status", "retry_count", "next_retry_at")
 
 
 @query("t10_outbox", "SELECT md5(text) AS key, min(doc_id) AS first FROM documents GROUP BY 1")
@@ -294,15 +334,21 @@ def _(t):
     return t.documents.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.min("doc_id").alias("first"))
 
 
-@query("x1_transcript_increment", "SELECT conv_id, turn FROM conversations a WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn AND b.turn < 2)")
+@query("x1_transcript_increment", """WITH l AS (SELECT conv_id AS source, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", text, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL OR conv_id % 2 = 0 AS complete FROM conversations)
+    SELECT source, "offset", turn FROM l WHERE complete AND NOT (turn < 2 AND source % 5 <> 0)""")
 def _(t):
-    seen = t.conversations.where("turn < 2").select("conv_id", "turn")
-    return t.conversations.select("conv_id", "turn").join(seen, ["conv_id", "turn"], "left_anti")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    complete = F.lead("turn").over(order).isNotNull() | (F.col("conv_id") % 2 == 0)
+    lines = t.conversations.select(F.col("conv_id").alias("source"), "turn", before.cast("long").alias("offset"), F.col("text").alias("content"), complete.alias("complete"))
+    changed = F.when(F.col("source") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    seen = lines.where("turn < 2").select("source", "offset", F.sha2(changed.cast("binary"), 256).alias("content_hash"))
+    return lifecycle.transcript_increment(lines, seen).select("source", "offset", "turn")
 
 
 @query("x3_context_search", f"SELECT p_partkey, h + 2 * th AS score FROM (SELECT p_partkey, len(list_intersect({_TOK.format(c='p_type')}, {_ASKED})) AS h, len(list_intersect({_TOK.format(c='p_name')}, {_ASKED})) AS th FROM part) WHERE h + th > 0 ORDER BY score DESC, th DESC, p_partkey LIMIT 20")
 def _(t):
-    return evidence.context_search(t.part, F.col("p_type"), F.col("p_name"), ["steel", "promo", "tin", "large"], "p_partkey", 20)
+    return evidence.context_search(t.part, F.col("p_type"), F.col("p_name"), ["small", "ring", "promo", "large"], "p_partkey", 20)
 
 
 @query("x4_record_search", "SELECT event_id, (CASE WHEN contains(props, '1') THEN 1 ELSE 0 END) + (CASE WHEN contains(props, '7') THEN 1 ELSE 0 END) AS score FROM events WHERE event_type IN ('click', 'view') AND (contains(props, '1') OR contains(props, '7')) ORDER BY score DESC, ts, event_id LIMIT 50")
@@ -326,8 +372,8 @@ def _(t):
 
 @query("x12_structured_operations")
 def _(t):
-    lines = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), F.when(F.col("l_returnflag") == "N", "append").when(F.col("l_returnflag") == "A", "replace").otherwise("remove").alias("op"), F.col("l_linestatus").alias("section"), F.col("l_suppkey").cast("string").alias("text"))
-    return evidence.apply_operations(lines)
+    found = evidence.apply_operations(_operations(t))
+    return found.groupBy("doc_id").agg(F.count("section").alias("sections"), F.sum(F.size("blocks")).alias("blocks"), F.max("applied").alias("applied"), F.max("skipped").alias("skipped"))
 
 
 @query("s12_layered_sources", "SELECT c_custkey AS id, 'c' AS layer FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)")
@@ -374,7 +420,7 @@ def _(t):
     return files.upsert(old, old.where("conv_id % 3 = 0").withColumn("version", F.lit(2)), ["conv_id"], "version")
 
 
-@query("s20_signed_outbox")
+@query("s20_signed_outbox", "SELECT event_id, sha256(unhex(concat('373925', repeat('5C', 61))) || unhex(sha256(unhex(concat('5D534F', repeat('36', 61))) || encode(props)))) AS signature FROM events")
 def _(t):
     return files.signed_outbox(t.events.select("event_id", "props"), F.col("props"), "key").select("event_id", "signature")
 

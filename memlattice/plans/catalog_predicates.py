@@ -72,9 +72,9 @@ def _(t):
     return t.events.where(F.get_json_object("props", "$.k") == "7").select("event_id", "user_id")
 
 
-@query("f16_wildcard_search", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%1%' AND p_type ILIKE 's%'")
+@query("f16_wildcard_search", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RING%' AND p_type ILIKE 's%'")
 def _(t):
-    return t.part.where(F.col("p_name").ilike("%1%") & F.col("p_type").ilike(texts.glob_like("s*"))).select("p_partkey", "p_name")
+    return t.part.where(F.col("p_name").ilike("%RING%") & F.col("p_type").ilike(texts.glob_like("s*"))).select("p_partkey", "p_name")
 
 
 @query("f17_as_of", f"SELECT unit_id FROM {_RANGES} WHERE m IS NULL OR m <= TIMESTAMP '{_LOW}'")
@@ -106,16 +106,20 @@ def _(t):
 
 
 def _sql_redact() -> str:
+    """The rules without lookaround: a token's neighbours are matched and put back, twice, as two tokens may share one."""
     out = "text"
-    for label, pattern in texts.REDACTIONS.items():
-        out = f"regexp_replace({out}, '{pattern}', '[REDACTED:{label}]', 'g')"
+    for label, body in texts.TOKENS:
+        if body is None:
+            out = "regexp_replace({}, '{}', '[REDACTED:{}]', 'g')".format(out, texts.ANYWHERE[label].replace("'", "''"), label)
+        else:
+            for _ in range(2):
+                out = f"regexp_replace({out}, '(^|[^A-Za-z0-9_])(?:{body})($|[^A-Za-z0-9_])', '\\1[REDACTED:{label}]\\2', 'g')"
     return out
 
 
-@query("f22_redaction", f"SELECT doc_id, md5({_sql_redact()}) AS redacted, {_sql_redact()} <> text AS changed FROM documents")
+@query("f22_redaction", f"SELECT doc_id, md5(r) AS redacted, CASE WHEN r <> text THEN 'redact' ELSE 'allow' END AS outcome FROM (SELECT doc_id, text, {_sql_redact()} AS r FROM documents)")
 def _(t):
-    out = texts.redacted(F.col("text"))
-    return t.documents.select("doc_id", F.md5(out.cast("binary")).alias("redacted"), (out != F.col("text")).alias("changed"))
+    return texts.screened(t.documents.select("doc_id", "text"), "text").select("doc_id", F.md5(F.col("redacted").cast("binary")).alias("redacted"), "outcome")
 
 
 @query("r1_query_tokens", r"SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> ''), ' ') AS tokens FROM conversations")

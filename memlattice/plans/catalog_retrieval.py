@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlattice.functions.scoring import graph_score
-from memlattice.operators import entities, graph, retrieval
+from memlattice.functions.scoring import cosine, graph_score
+from memlattice.operators import entities, graph, retrieval, vectors
 from memlattice.plans import recall, views
 from memlattice.plans.registry import Tables, query
 
+#: Lists of the inverted file, and those that a query looks at.
+LISTS, PROBES = 32, 12
+
 H, L, P, S = views.HITS, views.LINKS, views.POSTINGS, views.SEEDS
 
 
@@ -17,51 +20,57 @@ def vector_units(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("unit_id"), F.col("label").alias("kind"), "embedding")
 
 
-def vector_queries(t: Tables, *ids: int) -> DataFrame:
-    return t.embeddings.where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def vector_queries(t: Tables) -> DataFrame:
+    """The query set of searches: every row whose id is divisible by 20."""
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 _COS = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(u.embedding AS DOUBLE[])), 6)"
 
 
-def _semantic(ids: str, most: int, floor: float) -> str:
+def _semantic(most: int, floor: float) -> str:
     return f"""SELECT query_id, kind, unit_id, score, CAST(rank AS INTEGER) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, unit_id) AS rank FROM (
-            SELECT q.vec_id AS query_id, u.label AS kind, u.vec_id AS unit_id, {_COS} AS score FROM embeddings q CROSS JOIN embeddings u WHERE q.vec_id IN ({ids}))
+            SELECT q.vec_id AS query_id, u.label AS kind, u.vec_id AS unit_id, {_COS} AS score FROM embeddings q CROSS JOIN embeddings u WHERE q.vec_id % 20 = 0)
         WHERE score >= {floor}) WHERE rank <= {most}"""
 
 
-@query("r2_semantic_topk", _semantic("0, 5, 9", 5, 0.0))
+@query("r2_semantic_topk", _semantic(5, 0.0))
 def _(t):
-    found = retrieval.semantic(vector_queries(t, 0, 5, 9), vector_units(t), 5, 0.0, digits=6)
+    found = retrieval.semantic(vector_queries(t), vector_units(t), 5, 0.0, digits=6)
     return found.select("query_id", "kind", "unit_id", "score", "rank")
 
 
-@query("k2_vector_topk", f"SELECT vec_id, score FROM (SELECT u.vec_id, {_COS} AS score FROM embeddings q CROSS JOIN embeddings u WHERE q.vec_id = 0) ORDER BY score DESC, vec_id LIMIT 20")
+@query("k2_vector_topk", f"SELECT query_id, unit_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS r FROM (SELECT q.vec_id AS query_id, u.vec_id AS unit_id, {_COS} AS score FROM embeddings q CROSS JOIN embeddings u WHERE q.vec_id % 20 = 0)) WHERE r <= 20")
+def _(t):
+    return retrieval.semantic(vector_queries(t), vector_units(t), 20, -1.0, keys=(), digits=6).select("query_id", "unit_id", "score")
+
+
+@query("r2_inverted_file")
 def _(t):
-    found = retrieval.semantic(vector_queries(t, 0), vector_units(t), 20, -1.0, keys=(), digits=6)
-    return found.select(F.col("unit_id").alias("vec_id"), "score")
+    held = vectors.centroids(vector_units(t), LISTS)
+    return vectors.search(vector_queries(t), vectors.index(vector_units(t), held, 2), held, 10, PROBES, digits=6).select("query_id", "unit_id", "score", "rank")
 
 
-@query("r5_graph_seeds", _semantic("1, 2", 2, 0.3).replace("SELECT query_id, kind, unit_id, score, CAST(rank AS INTEGER) AS rank", "SELECT query_id, unit_id"))
+@query("r5_graph_seeds", _semantic(2, 0.3).replace("SELECT query_id, kind, unit_id, score, CAST(rank AS INTEGER) AS rank", "SELECT query_id, unit_id"))
 def _(t):
-    return retrieval.semantic(vector_queries(t, 1, 2), vector_units(t), 2, 0.3, digits=6).select("query_id", "unit_id")
+    return retrieval.semantic(vector_queries(t), vector_units(t), 2, 0.3, digits=6).select("query_id", "unit_id")
 
 
-@query("f11_similarity_floor", f"SELECT u.vec_id AS unit_id FROM embeddings q CROSS JOIN embeddings u WHERE q.vec_id = 3 AND {_COS} >= 0.2")
+@query("f11_similarity_floor", f"SELECT q.vec_id AS query_id, u.vec_id AS unit_id FROM embeddings q CROSS JOIN embeddings u WHERE q.vec_id % 20 = 0 AND {_COS} >= 0.2")
 def _(t):
-    return retrieval.semantic(vector_queries(t, 3), vector_units(t), 1_000_000, 0.2, keys=(), digits=6).select("unit_id")
+    return retrieval.nearest(vector_queries(t), vector_units(t), None, 0.2, digits=6).select("query_id", "unit_id")
 
 
 @query("r32_zero_guarded_cosine", f"SELECT u.vec_id, {_COS} AS similarity FROM embeddings q JOIN embeddings u ON u.vec_id = q.vec_id + 1")
 def _(t):
     a = t.embeddings.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("a"))
     both = a.join(t.embeddings, "vec_id")
-    return both.select("vec_id", F.round(graph.zero_guarded(F.col("a"), F.col("embedding")), 6).alias("similarity"))
+    return both.select("vec_id", F.round(cosine(F.col("a"), F.col("embedding")), 6).alias("similarity"))
 
 
 _TERMS = r"""(SELECT unit_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS term FROM (SELECT doc_id AS unit_id, text FROM documents))"""
-_QUERIES = r"(SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0 AND conv_id < 6)"
+_QUERIES = r"(SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0 AND conv_id % 20 = 0)"
 _QTERMS = rf"""(SELECT query_id, term, min(pos) AS pos FROM (SELECT query_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM (SELECT query_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS w FROM {_QUERIES})) GROUP BY 1, 2)"""
 _SELECTED = f"""(SELECT query_id, term, pos, df FROM (SELECT q.*, coalesce(d.df, 0) AS df, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(d.df, 0), pos) AS r FROM {_QTERMS} q LEFT JOIN (SELECT term, count(DISTINCT unit_id) AS df FROM {_TERMS} GROUP BY 1) d USING (term)) WHERE r <= 8)"""
 
@@ -71,11 +80,11 @@ def text_units(t: Tables) -> DataFrame:
 
 
 def text_queries(t: Tables) -> DataFrame:
-    return t.conversations.where("turn = 0 AND conv_id < 6").select(F.col("conv_id").alias("query_id"), "text")
+    return t.conversations.where("turn = 0 AND conv_id % 20 = 0").select(F.col("conv_id").alias("query_id"), "text")
 
 
 def chosen_terms(t: Tables) -> DataFrame:
-    return retrieval.selective_terms(text_queries(t), retrieval.document_frequencies(text_units(t)), most=8)
+    return retrieval.selective_terms(text_queries(t), retrieval.document_frequencies(text_units(t), wanted=retrieval.query_terms(text_queries(t))), most=8)
 
 
 @query("r4_document_frequencies", f"SELECT term, count(DISTINCT unit_id) AS df FROM {_TERMS} GROUP BY 1")
@@ -169,7 +178,7 @@ def _(t):
 
 @query("r11_graph_without_entities", f"SELECT query_id, unit_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS r FROM (SELECT query_id, unit_id, round(coalesce(max(s), 0) + coalesce(max(c), 0), 6) AS score FROM (SELECT query_id, unit_id, weight AS s, NULL::DOUBLE AS c FROM {_SEM} UNION ALL SELECT query_id, unit_id, NULL, weight FROM {_CAUSE}) GROUP BY 1, 2)) WHERE r <= 50")
 def _(t):
-    arm = retrieval.graph_arm(views.seeds(t), views.postings(t), _links(t, "semantic"), _links(t, "caused_by"), 50, entity_expansion=False)
+    arm = retrieval.graph_arm(views.seeds(t), views.postings(t), _links(t, "semantic"), _links(t, "caused_by"), 50, expand_entities=False)
     return arm.select("query_id", "unit_id", "score")
 
 
@@ -199,12 +208,12 @@ def _gram_sql(table: str, key: str, name: str) -> str:
     return rf"(SELECT DISTINCT {key} AS k, unnest(list_transform(range(1, len('  ' || w || ' ') - 1), lambda i: substring('  ' || w || ' ', CAST(i AS INTEGER), 3))) AS g FROM (SELECT {key}, unnest(list_filter(string_split_regex(lower({name}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS w FROM {table}))"
 
 
-@query("j16_trigram_match", f"""WITH m AS (SELECT k, g, count(*) OVER (PARTITION BY k) AS n FROM {_gram_sql('part', 'p_partkey', 'p_name')}), x AS (SELECT a.k AS a, b.k AS b, round(count(*) / (a.n + b.n - count(*)), 6) AS similarity FROM m a JOIN m b ON a.g = b.g AND a.k % 50 = 0 GROUP BY a.k, b.k, a.n, b.n)
-    SELECT a AS mention_id, b AS entity_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM x WHERE similarity >= 0.15) WHERE rank <= 10""")
+@query("j16_trigram_match", f"""WITH m AS (SELECT k, g, count(*) OVER (PARTITION BY k) AS n FROM {_gram_sql('part', 'p_partkey', 'p_name')}), x AS (SELECT a.k AS a, b.k AS b, round(count(*) / (a.n + b.n - count(*)), 6) AS similarity FROM m a JOIN m b ON a.g = b.g GROUP BY a.k, b.k, a.n, b.n)
+    SELECT a AS mention_id, b AS entity_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM x WHERE similarity >= 0.15) WHERE rank <= 200""")
 def _(t):
     _, parts = _names(t)
-    mentions = parts.where("entity_id % 50 = 0").select(F.col("entity_id").alias("mention_id"), F.col("canonical_name").alias("name"))
-    return entities.trigram_matches(mentions, parts, 0.15, 10)
+    mentions = parts.select(F.col("entity_id").alias("mention_id"), F.col("canonical_name").alias("name"))
+    return entities.trigram_matches(mentions, parts, 0.15, 200)
 
 
 @query("g14_exact_names", "SELECT s_suppkey AS mention_id, c_custkey AS entity_id FROM supplier JOIN customer ON lower(replace(s_name, 'Supplier', 'Customer')) = lower(c_name)")
@@ -216,11 +225,15 @@ def _(t):
 
 @query("g13_entity_resolution")
 def _(t):
-    mentions, parts = _names(t)
-    near = entities.trigram_matches(mentions, parts, 0.15, 20).join(mentions, "mention_id").join(parts, "entity_id")
-    scored = entities.sequence_ratio(near.select("mention_id", "entity_id", "similarity", "name", "canonical_name"), "name", "canonical_name")
-    candidates = scored.select("mention_id", "entity_id", "ratio", (F.col("similarity") == 1).alias("same"), F.lit(None).cast("double").alias("together"), F.lit(None).cast("double").alias("days"))
-    return entities.resolve(candidates, threshold=0.2)
+    """Part names, some written in another way, resolved among the names; suppliers stand for what occurs together."""
+    parts = t.part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("canonical_name"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.regexp_replace("p_name", "([a-z])([a-z])", "$2$1")).otherwise(F.col("p_name"))
+    mentions = t.part.select(F.col("p_partkey").alias("mention_id"), name.alias("name"), F.lit("1998-01-01").cast("date").alias("at"))
+    supplied = t.lineitem.select(F.col("l_partkey").alias("k"), F.col("l_suppkey").cast("string").alias("companion")).distinct()
+    seen = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_partkey").alias("entity_id")).agg(F.max("o_orderdate").cast("date").alias("last_seen"))
+    known = parts.join(seen, "entity_id", "left")
+    found = entities.scored_candidates(mentions, known, supplied.withColumnRenamed("k", "mention_id"), supplied.withColumnRenamed("k", "entity_id"), 0.3, 20)
+    return entities.resolve(found, threshold=0.5).select("mention_id", "entity_id", "score")
 
 
 @query("g15_name_clusters")
@@ -272,7 +285,13 @@ def _(t):
 
 @query("hybrid_recall")
 def _(t):
-    queries = t.embeddings.where("vec_id < 6").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    queries = queries.join(text_queries(t), "query_id")
+    """Four arms over documents: vectors, words, links of shared sources and languages, and time."""
+    day = F.make_dt_interval(days=(F.col("unit_id") % 400).cast("int"))
     units = t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id")).select(F.col("doc_id").alias("unit_id"), F.col("lang").alias("kind"), "embedding", "text", F.col("n_chars").alias("proof_count"))
-    return recall.hybrid(queries, units)
+    units = units.withColumn("at", F.lit("2023-01-01").cast("timestamp_ntz") + day)
+    asked = vector_queries(t).join(text_queries(t), "query_id")
+    asked = asked.withColumns({"low": F.lit("2023-03-01").cast("timestamp_ntz"), "high": F.lit("2023-06-01").cast("timestamp_ntz"), "now": F.lit("2024-03-01").cast("timestamp_ntz")})
+    linked = graph.semantic_links(vector_units(t), ["kind"], 5, 0.3).select("from_unit", "to_unit", "weight", "link_type")
+    following = units.select(F.col("unit_id").alias("from_unit"), (F.col("unit_id") + 1).alias("to_unit"), F.lit(0.8).alias("weight"), F.lit("caused_by").alias("link_type"))
+    postings = t.documents.select(F.col("doc_id").alias("unit_id"), F.concat("source", F.lit("/"), "lang").alias("entity_id"))
+    return recall.hybrid(asked, units, links=linked.unionByName(following), postings=postings)

@@ -155,31 +155,3 @@ def test_episodes_and_scopes(spark):
     tagged = spark.createDataFrame([(1, ["b", "a"]), (2, None)], "id int, tags array<string>")
     found = {(r.id, tuple(r.scope)) for r in lifecycle.scopes(tagged, "all_combinations").collect()}
     assert found == {(1, ("a",)), (1, ("b",)), (1, ("a", "b")), (2, ())}
-
-
-@pytest.mark.parametrize(
-    "text,first,last",
-    [
-        ("what did I do yesterday", "2024-05-14", "2024-05-14"),
-        ("heute", "2024-05-15", "2024-05-15"),
-        ("позавчера", "2024-05-13", "2024-05-13"),
-        ("a couple of days ago", "2024-05-12", "2024-05-14"),
-        ("few weeks ago", "2024-04-10", "2024-05-01"),
-        ("несколько месяцев назад", "2023-12-17", "2024-03-16"),
-        ("last week", "2024-05-06", "2024-05-12"),
-        ("le mois dernier", "2024-04-01", "2024-04-30"),
-        ("letztes Jahr", "2023-01-01", "2023-12-31"),
-        ("last weekend", "2024-05-11", "2024-05-12"),
-        ("in February 2024", "2024-02-01", "2024-02-29"),
-        ("durante 2019", "2019-01-01", "2019-12-31"),
-        ("13 July 2026", None, None),
-        ("port 2019", None, None),
-        ("in 8080", None, None),
-        ("in 2019-03", None, None),
-    ],
-)
-def test_periods(text, first, last):
-    from memlattice.functions.periods import extract_period
-
-    found = extract_period(text, datetime(2024, 5, 15, 10))
-    assert (found and tuple(str(d.date()) for d in found)) == (first and (first, last))
