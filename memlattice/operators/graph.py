@@ -69,6 +69,31 @@ def batch_links(units: DataFrame, keys: Sequence[str], at: str, hours: int = 24)
     return one.union(one.select("to_unit", "from_unit", "weight"))
 
 
+def links_to_stored(new: DataFrame, stored: DataFrame, keys: Sequence[str], at: str, hours: int = 24, most: int = DEFAULT.temporal_links) -> DataFrame:
+    """Temporal links of new units to each other and to stored ones within ``hours``, the strongest ``most`` of each new unit.
+
+    Both sides meet on blocks of ``hours``; stored units that are new as well count once.
+    """
+    block = F.floor(micros(F.col(at)) / (hours * HOUR))
+    a = new.select(*keys, F.col("unit_id").alias("from_unit"), micros(F.col(at)).alias("ta"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    both = new.select(*keys, "unit_id", at).unionByName(stored.select(*keys, "unit_id", at)).dropDuplicates(["unit_id"])
+    b = both.select(*keys, F.col("unit_id").alias("to_unit"), micros(F.col(at)).alias("tb"), block.alias("block"))
+    apart = F.abs(F.col("tb") - F.col("ta"))
+    near = a.join(b, [*keys, "block"]).where((F.col("from_unit") != F.col("to_unit")) & (apart <= hours * HOUR))
+    weighted = near.select("from_unit", "to_unit", F.round(link_weight(apart / HOUR), 6).alias("weight"))
+    return cap_links(weighted, most).withColumn("link_type", F.lit("temporal"))
+
+
+def similar_stored(new: DataFrame, stored: DataFrame, keys: Sequence[str], k: int = DEFAULT.semantic_links, floor: float = DEFAULT.semantic_link_floor) -> DataFrame:
+    """Semantic links of new units to each other and to stored ones of their keys, the nearest ``k`` of each."""
+    usable = lambda df: df.where(norm(F.col("embedding")) > 0).select(*keys, "unit_id", "embedding")
+    both = usable(new).unionByName(usable(stored)).dropDuplicates(["unit_id"])
+    asked = usable(new).withColumnsRenamed({"unit_id": "query_id", "embedding": "vector"})
+    found = nearest(asked, both, k + 1, floor, partition=keys, digits=6).where("query_id <> unit_id")
+    links = found.select(F.col("query_id").alias("from_unit"), F.col("unit_id").alias("to_unit"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("weight"))
+    return cap_links(links, k).withColumn("link_type", F.lit("semantic"))
+
+
 def cap_links(links: DataFrame, most: int = DEFAULT.temporal_links, source: str = "from_unit") -> DataFrame:
     """The strongest links of each unit."""
     rank = F.row_number().over(Window.partitionBy(source).orderBy(F.desc("weight"), F.asc("to_unit")))

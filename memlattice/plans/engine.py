@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ class Engine:
 
     def __init__(self, tables: Mapping[str, DataFrame], config: Config = DEFAULT):
         self.tables, self.config = dict(tables), config
+        self.stats_seconds, self.clock = 60.0, time.monotonic
+        self.cached: dict[str, tuple[float, dict[str, int]]] = {}
 
     def units(self, bank: str | None = None, tags: list[str] | None = None, mode: str = "any") -> DataFrame:
         found = self.tables["units"]
@@ -26,16 +29,41 @@ class Engine:
         return found.where(tag.match(F.col("tags"), tags, mode)) if tags or mode == "exact" else found
 
     def recall(self, queries: DataFrame, bank: str | None = None, tags: list[str] | None = None, mode: str = "any", **options) -> DataFrame:
-        return recall.hybrid(queries, self.units(bank, tags, mode), config=self.config, **options)
+        """The arms that the tables allow: links and postings add the graph, times the temporal one."""
+        graph_tables = {k: self.tables.get(k) for k in ("links", "postings")}
+        return recall.hybrid(queries, self.units(bank, tags, mode), **{**graph_tables, "config": self.config, **options})
 
     def retain(self, units: DataFrame, at: str = "created_at") -> tuple[DataFrame, DataFrame]:
-        """Units to append, without those stored, and their links in time."""
-        new = units.join(self.tables["units"].select("unit_id"), "unit_id", "left_anti")
-        return new, graph.temporal_links(new, ["bank_id", "kind"], at, self.config.temporal_links)
+        """Units to append, without those stored, and their links.
+
+        Links lead to other new units and to stored ones: in time, by vectors, and to
+        the causes a unit names (``batch``, ``index``, ``causes``), as far as the
+        columns are there.
+        """
+        stored, keys = self.tables["units"], ["bank_id", "kind"]
+        new = units.join(stored.select("unit_id"), "unit_id", "left_anti")
+        links = graph.links_to_stored(new, stored, keys, at, most=self.config.temporal_links)
+        if "embedding" in units.columns and "embedding" in stored.columns:
+            links = links.unionByName(graph.similar_stored(new, stored, ["bank_id"], self.config.semantic_links, self.config.semantic_link_floor))
+        if "causes" in units.columns:
+            links = links.unionByName(graph.causal_links(new).select("from_unit", "to_unit", "weight", "link_type"))
+        self.cached.clear()
+        return new, links
 
     def stats(self) -> DataFrame:
         return aggregates.count_by(self.tables["units"], "bank_id", "kind")
 
+    def cached_stats(self, bank: str) -> dict[str, int]:
+        """Units of a bank by kind, remembered for ``stats_seconds``; ``retain`` forgets all, ``forget`` one bank."""
+        held = self.cached.get(bank)
+        if held is None or self.clock() - held[0] >= self.stats_seconds:
+            rows = self.stats().where(F.col("bank_id") == bank).collect()  # a row for each kind
+            held = self.cached[bank] = (self.clock(), {r.kind: r.n for r in rows})
+        return held[1]
+
+    def forget(self, bank: str) -> None:
+        self.cached.pop(bank, None)
+
     def links(self) -> DataFrame:
         return aggregates.link_counts(self.tables["links"], self.tables["postings"])
 

@@ -124,11 +124,13 @@ def test_components_and_clusters(spark):
     assert found == {"jon smith": "john smith", "john smith": "john smith", "acme": "acme"}
 
 
-def test_semantic_links_meet_across_blocks(spark):
+def test_semantic_links_meet_across_blocks(spark, monkeypatch):
     rows = [(i, 0, [math.cos(i / 10), math.sin(i / 10)]) for i in range(40)] + [(99, 0, [0.0, 0.0])]
     units = spark.createDataFrame(rows, "unit_id long, kind int, embedding array<float>")
     one = {(r.from_unit, r.to_unit, r.weight) for r in graph.semantic_links(units, ["kind"], 5, 0.9).collect()}
-    many = {(r.from_unit, r.to_unit, r.weight) for r in graph.semantic_links(units, ["kind"], 5, 0.9, block_rows=7).collect()}
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "UNIT_BLOCK", 11)
+    many = {(r.from_unit, r.to_unit, r.weight) for r in graph.semantic_links(units, ["kind"], 5, 0.9).collect()}
     assert one == many and all(a != b for a, b, _ in one)
 
 
@@ -155,3 +157,52 @@ def test_episodes_and_scopes(spark):
     tagged = spark.createDataFrame([(1, ["b", "a"]), (2, None)], "id int, tags array<string>")
     found = {(r.id, tuple(r.scope)) for r in lifecycle.scopes(tagged, "all_combinations").collect()}
     assert found == {(1, ("a",)), (1, ("b",)), (1, ("a", "b")), (2, ())}
+
+
+def test_new_units_link_to_stored_ones(spark):
+    from memlattice.plans.engine import Engine
+
+    at = lambda day, hour: datetime(2024, 1, day, hour)
+    shape = "unit_id int, bank_id string, kind string, created_at timestamp_ntz, embedding array<float>"
+    stored = spark.createDataFrame([(1, "b", "w", at(1, 0), [1.0, 0.0]), (2, "b", "w", at(9, 0), [0.0, 1.0]), (3, "c", "w", at(1, 1), [1.0, 0.0])], shape)
+    new = spark.createDataFrame([(1, "b", "w", at(1, 0), [1.0, 0.0], 0, 0, []), (10, "b", "w", at(1, 12), [0.9, 0.1], 0, 1, [2, 7]), (11, "b", "w", at(2, 6), [0.0, 0.0], 0, 2, [2])], shape + ", batch int, index int, causes array<int>")
+    engine = Engine({"units": stored})
+    engine.clock = lambda: now[0]
+    now = [0.0]
+    assert engine.cached_stats("b") == {"w": 2}
+    added, links = engine.retain(new)
+    assert sorted(r.unit_id for r in added.collect()) == [10, 11]
+    found = {(r.from_unit, r.to_unit, r.link_type): r.weight for r in links.collect()}
+    assert found.keys() == {(10, 1, "temporal"), (10, 11, "temporal"), (11, 10, "temporal"), (10, 1, "semantic"), (10, 11, "caused_by")}
+    assert found[10, 1, "temporal"] == pytest.approx(0.5) and found[10, 11, "temporal"] == pytest.approx(0.3)
+    assert not engine.cached and engine.cached_stats("b") == {"w": 2}
+    engine.tables["units"] = stored.where("unit_id = 1")
+    now[0] = 59.0
+    assert engine.cached_stats("b") == {"w": 2}
+    now[0] = 60.0
+    assert engine.cached_stats("b") == {"w": 1}
+    engine.forget("b")
+    assert not engine.cached
+
+
+def test_claims_merge_by_beginning(spark):
+    from memlattice.operators import evidence
+
+    lead = "x" * 48
+    rows = [("s", lead + t, n, a) for t, n, a in (("", 9, 1), (" more", 5, 2), (" more words", 7, 9), ("y", 8, 3))] + [("t", lead + " more", 4, 4), ("s", "short", 1, 1), ("s", "Short", 2, 2), ("s", "short one", 3, 3)]
+    found = {(r.slot, r.claim): (r.tokens, r.authority, r.n) for r in evidence.claims(spark.createDataFrame(rows, "slot string, claim string, tokens int, authority int")).collect()}
+    assert found == {("s", lead): (5, 9, 4), ("t", lead + " more"): (4, 4, 1), ("s", "short"): (1, 2, 2), ("s", "short one"): (3, 3, 1)}
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(edges, rounds=1)
+    assert {r.root for r in graph.components(edges).collect()} == {0}
+
+
+def test_names_beyond_the_first_most_are_not_lost(spark):
+    entities_ = spark.createDataFrame([(i, "same name") for i in range(30)] + [(99, "same names")], "entity_id int, canonical_name string")
+    mentions = spark.createDataFrame([(0, "Same Name"), (1, None), (2, "--")], "mention_id int, name string")
+    assert [r.entity_id for r in entities.trigram_matches(mentions, entities_, 0.3, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert entities.trigram_matches(mentions, entities_, 0.3, None).count() == 31
