@@ -92,10 +92,11 @@ def fit(features: tuple[str, ...], x: np.ndarray, y: np.ndarray, trees: int = 16
 def calibrated_cut(margin: np.ndarray, y: np.ndarray, precision: float) -> float:
     """The lowest margin from which held-out rows reach a precision; halfway to the next lower margin."""
     order = np.argsort(-margin, kind="stable")
+    ranked = margin[order]
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(right >= precision)
+    # Rows of one margin are taken together.
+    good = np.flatnonzero((right >= precision) & np.append(ranked[1:] < ranked[:-1], True))
     if not len(good):
         return float("inf")
     last = int(good[-1])
-    ranked = margin[order]
     return float((ranked[last] + ranked[min(last + 1, len(ranked) - 1)]) / 2)

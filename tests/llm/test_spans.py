@@ -64,9 +64,10 @@ def test_candidates_are_chosen_by_format_and_context(docs):
 
 def test_classifier_on_rows_it_has_not_seen():
     model, cut = pii.classifier()
-    x, y = pii._examples(2000, seed=99)
-    taken = model.predict(x) >= cut
-    assert y[taken].mean() >= 0.95 and taken[y == 1].mean() >= 0.7
+    for other, least in ((False, 0.75), (True, 0.6)):
+        x, y = pii._examples(4000, seed=99, other=other)
+        taken = model.predict(x) >= cut
+        assert y[taken].mean() >= 0.97 and taken[y == 1].mean() >= least, (other, y[taken].mean(), taken[y == 1].mean())
 
 
 def test_boosting_learns_and_calibrates():
