@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from memlattice.llm.common import arrow_rows, materialized, text_or_empty
 from memlattice.llm.components import connected
+from memlattice.llm.tiles import dealt, hot_keys
 
 BITS = 3
 SEGMENTS = 8
@@ -107,78 +108,40 @@ def _tree(start: int, members: np.ndarray, others: np.ndarray | None = None) ->
     return np.concatenate(left), np.concatenate(right)
 
 
-def _search(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
-    """Links from rows sorted by key; a key with more than ``tile`` members gives them back for later."""
-    names = ["a", "b", "later"]
-
-    def out(a, b, later=None):
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), -1, np.int64) if later is None else later)], names=names)
-
-    keys, members = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    spilled = None
-    tail = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["key", "fp"])
-    for batch in _then(batches, tail):
-        last = batch is tail
-        keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-        members = np.concatenate([members, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        if spilled is not None:
-            same = keys == spilled
-            if same.any():
-                yield out(members[same], members[same], keys[same])
-                keys, members = keys[~same], members[~same]
-        if not len(keys):
-            continue
-        whole = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
-        if whole == 0 and len(keys) > tile:
-            spilled = keys[0]
-            yield out(members, members, keys)
-            keys, members = keys[:0], members[:0]
-            continue
-        now, these = keys[:whole], members[:whole]
-        keys, members = keys[whole:], members[whole:]
-        if not len(now):
-            continue
-        starts = np.flatnonzero(np.r_[True, now[1:] != now[:-1]])
-        sizes = np.diff(np.r_[starts, len(now)])
-        small = np.repeat(sizes <= 8, sizes)
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of fingerprints that share a key, from rows sorted by key, two tiles and side."""
+    whole = np.zeros((0, 5), dtype=np.int64)
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, prints = rows[:, 0], rows[:, 4].copy().view(np.uint64)
+        starts = np.r_[0, np.flatnonzero(np.any(rows[1:, :3] != rows[:-1, :3], axis=1)) + 1]
+        sizes = np.diff(np.r_[starts, len(rows)])
+        few = np.repeat((sizes <= 8) & (rows[starts, 1] == rows[starts, 2]), sizes)
         for lag in range(1, min(8, int(sizes.max()))):
-            pair = np.flatnonzero((now[lag:] == now[:-lag]) & small[lag:])
+            pair = np.flatnonzero(few[lag:] & (keys[lag:] == keys[:-lag]) & np.all(rows[lag:, 1:3] == rows[:-lag, 1:3], axis=1))
             if len(pair):
-                a, b = these[pair], these[pair + lag]
-                held = _near(now[pair] >> 29, a ^ b)
+                a, b = prints[pair], prints[pair + lag]
+                held = _near(keys[pair] >> 29, a ^ b)
                 yield out(a[held], b[held])
-        for at, size in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
-            if size > tile:
-                yield out(these[at : at + size], these[at : at + size], now[at : at + size])
-            else:
-                a, b = _tree(int(now[at] >> 29), these[at : at + size])
-                yield out(a, b)
-
+        for at, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+            if size > 1 and not few[at]:
+                some, side = prints[at : at + size], rows[at : at + size, 3]
+                yield out(*_tree(int(keys[at] >> 29), some[side == 0], some[side == 1] if rows[at, 1] != rows[at, 2] else None))
 
-def _then(batches: Iterator[pa.RecordBatch], last: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    yield from batches
-    yield last
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a hot key between two of its tiles; rows are sorted by key, the tiles and side."""
-
-    def done(held: list[tuple[int, int]], start: int) -> pa.RecordBatch:
-        ours = np.array([f for f, side in held if not side], dtype=np.int64).view(np.uint64)
-        theirs = np.array([f for f, side in held if side], dtype=np.int64).view(np.uint64)
-        a, b = _tree(start, ours, theirs if len(theirs) else None)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    at, held = None, []
     for batch in batches:
-        for key, x, y, side, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, x, y) != at:
-                if held:
-                    yield done(held, at[0] >> 29)
-                at, held = (key, x, y), []
-            held.append((fp, side))
-    if held:
-        yield done(held, at[0] >> 29)
+        if not batch.num_rows:
+            continue
+        whole = np.concatenate([whole, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
+        same = np.flatnonzero(np.any(whole[:, :3] != whole[-1, :3], axis=1))
+        upto = int(same[-1]) + 1 if len(same) else 0  # the last key may go on
+        if upto:
+            yield from links(whole[:upto])
+            whole = whole[upto:]
+    if len(whole):
+        yield from links(whole)
 
 
 def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
@@ -186,23 +149,14 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
 
     A key's fingerprints are joined by a tree of links and not by all pairs, so the
     edges are linear in the fingerprints; none that is linked to another is lost.
-    Keys of more than ``tile`` fingerprints are cut into tiles by hash and each two
-    tiles are compared in a task of their own.
+    Keys are counted first: those of more than ``tile`` fingerprints are dealt into
+    tiles by hash and every two tiles are compared in a task of their own.
     """
-    spark = distinct.sparkSession
-    keyed = distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    arrow_rows(spark, 20_000)
-    found = materialized(keyed.mapInArrow(lambda batches: _search(batches, tile), "a long, b long, later long"), "links")
-    edges = found.where("later = -1").select("a", "b")
-    hot = found.where("later <> -1").select(F.col("later").alias("key"), F.col("a").alias("fp"))
-    counted = hot.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))  # a row for each TILE rows at most
-    if hot.isEmpty():
-        return edges
-    dealt = hot.join(counted, "key").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-    dealt = dealt.select("key", "fp", "t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
-    dealt = dealt.select("key", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), (F.col("t") > F.col("o")).cast("int").alias("side"), "fp")
-    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "fp")
-    return edges.union(dealt.mapInArrow(_tiles, "a long, b long"))
+    keyed = materialized(distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), F.col("fp").alias("node")), "keys")
+    rows = dealt(keyed, "key", hot_keys(keyed, "key", F.ceil(F.count("*") / tile))).select("key", "x", "y", "side", "node")
+    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "node")
+    arrow_rows(distinct.sparkSession, 20_000)
+    return rows.mapInArrow(_search, "a long, b long")
 
 
 def classify(docs: DataFrame, words: int = 3) -> DataFrame:
