@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from memlattice.llm.boosting import Boosted, calibrated_cut, fit
 from memlattice.llm.common import settled, text_or_empty
-from memlattice.llm.spans import NONE, joined, lengths, of_kind, places, scanned
+from memlattice.llm.spans import NONE, contexts, joined, lengths, of_kind, places, scanned
 
 #: The definitions, as plain patterns (fixed values).
 BASE = {
@@ -178,15 +178,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     gate = {k: F.col(f"_g_{k}") for k in kinds} | {k: F.col("_g") for k in GENERATORS}
     rows = settled(rows, **{f"_m_{k}": F.when(gate[k], F.regexp_extract_all("_t", F.lit(p), F.lit(0))) for k, p in searched.items()})
     rows = settled(rows, **{f"_l_{k}": F.when(F.size(f"_m_{k}") > 0, lengths(F.split("_t", p, -1), F.col(f"_m_{k}"))) for k, p in searched.items()})
-    rows = settled(rows, **{f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, places(f"_l_{k}", f"_m_{k}")) for k in searched})
+    # A candidate's context is the end of what stands before it, with the match before that; cutting it out of the text would walk the text for each.
+    ends = {f"_b_{k}": F.when(F.size(f"_m_{k}") > 0, contexts(F.split("_t", p, -1), f"_m_{k}", BEFORE)) for k, p in GENERATORS.items()}
+    rows = settled(rows, **{f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, places(f"_l_{k}", f"_m_{k}")) for k in searched}, **ends)
     rows = settled(rows, **{k: F.coalesce(F.filter(f"_p_{k}", partial(_valid, k)), none) for k in kinds})
     model, cut = classifier()
-    text = F.col("_t")
 
     def candidates(k: int, name: str) -> Column:
-        def features(s: Column) -> Column:
-            match, begin = s["match"], F.greatest(s["start"] - BEFORE, F.lit(0))
-            before = F.substring(text, begin + 1, s["start"] - begin)
+        def features(s: Column, before: Column) -> Column:
+            match = s["match"]
             digits = _digits(match)
             values = {
                 "generator": F.lit(float(k)),
@@ -202,7 +202,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             return F.struct(*(v.cast("double").alias(f) for f, v in values.items()), s["start"].alias("start"), s["end"].alias("end"), F.lit(name).alias("kind"))
 
         fields = "".join(f"{f}:double," for f in FEATURES)
-        return F.coalesce(F.transform(f"_p_{name}", features), F.expr(f"cast(array() as array<struct<{fields}start:int,end:int,kind:string>>)"))
+        return F.coalesce(F.zip_with(f"_p_{name}", f"_b_{name}", features), F.expr(f"cast(array() as array<struct<{fields}start:int,end:int,kind:string>>)"))
 
     def ranked(s: Column) -> Column:
         margin = model.margin({f: s[f] for f in FEATURES})

@@ -44,6 +44,12 @@ def lengths(between: Column, matches: Column) -> Column:
     return F.slice(pairs, 1, F.size(matches))
 
 
+def contexts(between: Column, matches: str, most: int) -> Column:
+    """The last ``most`` characters before each match, as far back as the match before it."""
+    end = lambda gap, k: F.right(F.concat(F.coalesce(F.get(matches, k - 1), F.lit("")), gap), F.lit(most))
+    return F.slice(F.transform(between, end), 1, F.size(matches))
+
+
 def places(lengths: str, matches: str) -> Column:
     """``start``, ``end`` and ``match`` of every match, in order, from settled columns."""
     upto = F.zip_with(scanned(lengths, lambda a, b: a + b), lengths, lambda before, own: before + own)
