@@ -287,3 +287,29 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir, corpus):
     assert dict(lines.select("doc_id", "text").collect()) == dict(zip(ids, expected, strict=True))
     kept = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, lines, sf_dir).collect()}
     assert kept == {ids[k] for k in near_classes(expected)}
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_trees_of_many_shapes_against_all_pairs(sides):
+    draw = np.random.default_rng(9)
+    for n, groups, noise in ((1, 1, 1), (40, 1, 3), (300, 60, 9), (200, 3, 40), (250, 200, 2)):
+        bases = [draw.integers(0, 2**63, 60).astype(np.uint64) for _ in range(groups)]
+        sets = []
+        for _ in range(n):
+            own = bases[draw.integers(0, groups)].copy()
+            changed = draw.choice(60, draw.integers(0, noise + 1), replace=False)
+            own[changed] = draw.integers(0, 2**63, len(changed)).astype(np.uint64)
+            sets.append(np.unique(own))
+        side = draw.integers(0, 2, n) if sides else None
+        for dense in (2048, 5):
+            held = near_copies.Sets(sets, dense)
+            left, right = near_copies.tree(n, held.similar, side, step=16, walks=2)
+            parent, made = list(range(n)), list(range(n))
+            for i in range(n):
+                for j in range(i):
+                    shared = len(np.intersect1d(sets[i], sets[j]))
+                    if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared) and (side is None or side[i] != side[j]):
+                        parent = [min(parent[i], parent[j]) if p in (parent[i], parent[j]) else p for p in parent]
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                made = [min(made[i], made[j]) if p in (made[i], made[j]) else p for p in made]
+            assert made == parent and len(left) == n - len(set(made))
