@@ -40,10 +40,11 @@ def trigram_matches(mentions: DataFrame, entities: DataFrame, floor: float = DEF
     e = e.withColumnRenamed("grams", "ge")
     if most is not None:  # of equal names no more than the first ``most`` can be among the best
         e = e.withColumn("k", F.row_number().over(Window.partitionBy("ge").orderBy("entity_id"))).where(F.col("k") <= most)
-    found = m.join(near, m.grams == near.ga).join(e, F.col("gb") == F.col("ge")).select("mention_id", "entity_id", "similarity")
-    rank = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("similarity"), F.asc("entity_id")))
-    found = found.withColumn("rank", rank)
-    return found if most is None else found.where(F.col("rank") <= most)
+    # Mentions of one name have the same matches, which are ranked once.
+    found = near.join(e, F.col("gb") == F.col("ge")).select("ga", "entity_id", "similarity")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("ga").orderBy(F.desc("similarity"), F.asc("entity_id"))))
+    found = found if most is None else found.where(F.col("rank") <= most)
+    return m.join(found, m.grams == found.ga).select("mention_id", "entity_id", "similarity", "rank")
 
 
 def sequence_ratio(df: DataFrame, left: str, right: str) -> DataFrame:
