@@ -9,16 +9,30 @@ from pyspark.sql import functions as F
 
 
 def _packed(items: Column, most: int, floor_of_one: bool) -> Column:
-    """Ranks taken from an array of (rank, size): what fits is taken, what does not is skipped."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"), F.lit(False).alias("cut"))
+    """Ranks taken from an array of (rank, size): what fits is taken, what does not is skipped.
+
+    Ranks gather in blocks of about the root of the length, so that a long group does
+    not copy all ranks taken for each item.
+    """
+    n = F.size(items)
+    width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / width).cast("int"), F.lit(0))), lambda b: F.slice(items, b * width + 1, width))
+    none = F.array().cast("array<bigint>")
+
+    def state(used: Column, taken: Column, any_: Column, cut: Column) -> Column:
+        return F.struct(used.alias("used"), taken.alias("taken"), any_.alias("any"), cut.alias("cut"))
 
     def step(s: Column, x: Column) -> Column:
         fits = s["used"] + x["size"] <= most
         if floor_of_one:
-            fits = fits | (F.size(s["taken"]) == 0)
-        return F.when(fits, F.struct((s["used"] + x["size"]).alias("used"), F.concat(s["taken"], F.array(x["rank"])).alias("taken"), s["cut"].alias("cut"))).otherwise(F.struct(s["used"].alias("used"), s["taken"].alias("taken"), F.lit(True).alias("cut")))
+            fits = fits | ~s["any"]
+        return F.when(fits, state(s["used"] + x["size"], F.concat(s["taken"], F.array(x["rank"])), F.lit(True), s["cut"])).otherwise(state(s["used"], s["taken"], s["any"], F.lit(True)))
+
+    def block(s: Column, some: Column) -> Column:
+        return F.aggregate(some, state(s["used"], none, s["any"], s["cut"]), step, lambda e: state(e["used"], F.concat(s["taken"], F.array(e["taken"])), e["any"], e["cut"]))
 
-    return F.aggregate(items, start, step)
+    start = state(F.lit(0).cast("long"), F.array().cast("array<array<bigint>>"), F.lit(False), F.lit(False))
+    return F.aggregate(blocks, start, block, lambda e: F.struct(e["used"].alias("used"), F.flatten(e["taken"]).alias("taken"), e["cut"].alias("cut")))
 
 
 def pack(df: DataFrame, keys: Sequence[str], rank: str, size: Column, most: int, floor_of_one: bool = True) -> DataFrame:

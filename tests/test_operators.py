@@ -206,3 +206,15 @@ def test_names_beyond_the_first_most_are_not_lost(spark):
     mentions = spark.createDataFrame([(0, "Same Name"), (1, None), (2, "--")], "mention_id int, name string")
     assert [r.entity_id for r in entities.trigram_matches(mentions, entities_, 0.3, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
     assert entities.trigram_matches(mentions, entities_, 0.3, None).count() == 31
+
+
+def test_a_long_group_is_packed_in_time(spark):
+    n = 20_000
+    items = spark.range(n).selectExpr("0 as k", "id as r", "id % 7 as size")
+    row = budget.pack(items, ["k"], "r", F.col("size"), 30_000).first()
+    used, taken = 0, []
+    for r in range(n):
+        if used + r % 7 <= 30_000:
+            used += r % 7
+            taken.append(r)
+    assert row.used == used and row.n == len(taken) and row.ranks == ",".join(map(str, taken))
