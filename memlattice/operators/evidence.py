@@ -98,6 +98,16 @@ def claims(rows: DataFrame, lead: int = 48) -> DataFrame:
     return merged.groupBy("slot", "claim").agg(F.min("tokens").alias("tokens"), F.max("authority").alias("authority"), F.sum("n").alias("n"))
 
 
+def literal_search(sources: DataFrame, text: str, words: Sequence[str], every: bool = True, around: int = 700) -> DataFrame:
+    """Sources that hold all (or any) of the words in any case: ``at``, the first place of one from 1, and the text up to ``around`` characters on either side."""
+    low = F.lower(text)
+    places = F.array(*(F.instr(low, w.lower()) for w in words))
+    found = sources.withColumn("_p", places).where(F.forall("_p", lambda p: p > 0) if every else F.exists("_p", lambda p: p > 0))
+    first = F.array_min(F.filter("_p", lambda p: p > 0))
+    begin = F.greatest(F.lit(1), first - around)
+    return found.withColumns({"at": first, "around": F.substring(F.col(text), begin, first - begin + around)}).drop("_p")
+
+
 def missing_slots(required: Sequence[str], covered: Column) -> Column:
     return F.array_sort(F.array_except(F.array(*map(F.lit, required)), covered))
 

@@ -151,6 +151,14 @@ def retracted(groundings: DataFrame, live: DataFrame, key: str = "unit_id") -> D
     return groundings.join(live.select(key), key, "left_anti")
 
 
+def turns_to_keep(messages: DataFrame, keys: Sequence[str], order: str, most: int = 12_000) -> DataFrame:
+    """User turns, and of the assistant's the last before the next user turn or the end; texts up to ``most`` characters."""
+    spoken = messages.where(F.col("role").isin("user", "assistant"))
+    after = F.lead("role").over(Window.partitionBy(*keys).orderBy(order))
+    final = spoken.withColumn("_next", after).where((F.col("role") == "user") | F.col("_next").isNull() | (F.col("_next") == "user"))
+    return final.select(*keys, order, "role", F.substring("text", 1, most).alias("text"))
+
+
 def episodes(messages: DataFrame, keys: Sequence[str], order: str, starts: Column) -> DataFrame:
     """Ordered messages cut into episodes at the rows where ``starts`` holds."""
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

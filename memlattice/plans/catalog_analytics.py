@@ -495,9 +495,9 @@ def _(t):
     return groups.where("members >= 2 AND contexts >= 2")
 
 
-@query("x2_messages", "SELECT conv_id, turn, role, substring(text, 1, 12000) AS text FROM conversations WHERE role IN ('user', 'assistant')")
+@query("x2_messages", "SELECT conv_id, turn, role, substring(text, 1, 12000) AS text FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations WHERE role IN ('user', 'assistant')) WHERE role = 'user' OR after IS NULL OR after = 'user'")
 def _(t):
-    return t.conversations.where(F.col("role").isin("user", "assistant")).select("conv_id", "turn", "role", F.substring("text", 1, 12000).alias("text"))
+    return lifecycle.turns_to_keep(t.conversations, ["conv_id"], "turn")
 
 
 @query("x10_effectiveness", "SELECT o_orderkey, max(l_returnflag) AS flag, array_to_string(list(l_suppkey ORDER BY l_linenumber, l_suppkey), ',') AS ids, count(DISTINCT l_linestatus) > 1 AS mixed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

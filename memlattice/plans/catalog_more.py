@@ -114,10 +114,11 @@ def _(t):
     return found.select("unit_id", "shared")
 
 
-@query("r12_temporal_pool", f"SELECT kind, unit_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY value DESC, unit_id) AS r FROM {E} WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' AND value >= 0.1) WHERE r <= 60")
+@query("r12_temporal_pool", f"""WITH e AS (SELECT *, ts + CAST(unit_id % 72 AS INTEGER) * INTERVAL 1 HOUR AS ended FROM {E}) SELECT kind, unit_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY value DESC, unit_id) AS r FROM e WHERE ts <= TIMESTAMP '2024-01-12' AND ended >= TIMESTAMP '2024-01-10' AND value >= 0.1) WHERE r <= 60""")
 def _(t):
-    low, high = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-10", "2024-01-20"))
-    pool = views.events(t).where(F.col("ts").between(low, high) & (F.col("value") >= 0.1))
+    low, high = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-10", "2024-01-12"))
+    ended = F.col("ts") + F.make_dt_interval(hours=(F.col("unit_id") % 72).cast("int"))
+    pool = views.events(t).where(times.overlaps(F.col("ts"), ended, F.lit(None).cast("timestamp_ntz"), low, high) & (F.col("value") >= 0.1))
     return retrieval.ranked(pool, ["kind"], F.desc("value"), F.asc("unit_id"), most=60).select("kind", "unit_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlattice.functions.scoring import cosine, graph_score
-from memlattice.operators import entities, graph, retrieval, vectors
+from memlattice.operators import entities, evidence, graph, retrieval, vectors
 from memlattice.plans import recall, views
 from memlattice.plans.registry import Tables, query
 
@@ -254,12 +254,12 @@ def _(t):
     return views.hits(t).groupBy("query_id", "unit_id").agg(F.round(score, 6).alias("score"))
 
 
-@query("r25_literal_search", "SELECT doc_id, instr(lower(text), 'the') AS at, lower(substring(text, greatest(1, instr(lower(text), 'the') - 20), 60)) AS around FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and')")
+@query("r25_literal_search", """WITH s AS (SELECT conv_id, turn, text, list_filter([instr(lower(text), w) FOR w IN ['the', 'and', 'der']], lambda x: x > 0) AS p FROM conversations WHERE role = 'user')
+    SELECT conv_id, turn, list_min(p) AS at, substring(text, greatest(1, list_min(p) - 700), list_min(p) - greatest(1, list_min(p) - 700) + 700) AS around FROM s WHERE len(p) > 0""")
 def _(t):
-    low = F.lower("text")
-    at = F.instr(low, "the")
-    found = t.documents.where(F.contains(low, F.lit("the")) & F.contains(low, F.lit("and")))
-    return found.select("doc_id", at.cast("long").alias("at"), F.lower(F.substring("text", F.greatest(F.lit(1), at - 20), F.lit(60))).alias("around"))
+    spoken = t.conversations.where("role = 'user'")
+    found = evidence.literal_search(spoken, "text", ["the", "and", "der"], every=False)
+    return found.select("conv_id", "turn", F.col("at").cast("long").alias("at"), "around")
 
 
 @query("r30_preference_rank", f"""WITH d AS (SELECT DISTINCT unit_id, term FROM {_TERMS}), f AS (SELECT term, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS idf FROM d GROUP BY 1), n AS (SELECT unit_id, sqrt(sum(idf * idf)) AS norm FROM d JOIN f USING (term) GROUP BY 1),
