@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.llm.common import remove, scratch
 
 
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Edges (``u`` over ``v``) with every node and its smaller neighbours hung on the smallest of them, which leaves far fewer."""
+    marked = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    ahead = marked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return ahead.union(marked.select("u", F.col("m").alias("v"))).distinct()
+
+
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node``, ``root`` (the smallest node reachable) for every node but the roots.
 
@@ -20,7 +27,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     state = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003))
     kept, seen = None, None
-    current = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    current = _small_star(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
         path = scratch(spark, "edges")
         current.write.parquet(path)
@@ -34,8 +41,5 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = found
         both = current.union(current.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = small.union(least.select("u", "m")).distinct()
+        current = _small_star(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
