@@ -75,6 +75,14 @@ def test_containment_edges(docs, empty, spark, monkeypatch):
     assert all(not r._items for r in decontam.flag(frame, items.where("false")).collect())
 
 
+def test_containment_in_a_very_long_text(docs, spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    noise = " ".join(f"n{i % 9973}" for i in range(200_000))
+    frame = docs(f"{noise} {item} {noise}", noise, noise + " " + item[:-20])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id: r._items for r in decontam.flag(frame, items).collect()} == {0: [1], 1: [], 2: [1]}
+
+
 def host_path(url):
     if not url or "://" not in url:
         return "", ""

@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 
 from memlattice.llm import quality, queries
@@ -34,6 +35,13 @@ def test_edges(docs, empty):
     assert quality.accept(frame).columns == frame.columns
 
 
+def test_very_long_texts(docs):
+    draw = random.Random(6)
+    texts = ["again and again we say it " * 20_000, " ".join(f"w{draw.randint(0, 9999)}" for _ in range(80_000)), "\n".join(f"line {draw.randint(0, 9)} of it" for _ in range(20_000))]
+    for r in quality.digests(quality.ledger(docs(*texts))).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(texts[r.doc_id])
+
+
 def test_policies_and_ablation(docs):
     clean = " ".join(f"word{i}" for i in range(30))
     book = quality.ledger(docs(clean, "too short", clean.replace(" ", "%% "), ("again and again we say it " * 10).strip())).cache()
