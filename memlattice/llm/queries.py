@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memlattice.llm import bpe, decontam, huffman, line_dedup, pii, quality, secrets, sharding, simhash, url_filter
+from memlattice.llm import bpe, decontam, huffman, licenses, line_dedup, pii, quality, secrets, sharding, simhash, url_filter
 from memlattice.llm.common import arrow_rows, scratch, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -64,7 +64,11 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_pii_boosting, op3_line_chunks, op4_simhash, op5_url_models, op6_secret_ledger, op7_hash_tree, op8_minhash_containment, op9_huffman, op10_rule_ledger)
+    for f in (op1_byte_bpe, op2_pii_boosting, op3_line_chunks, op4_simhash, op5_url_models, op6_secret_ledger, op7_hash_tree, op8_minhash_containment, op9_huffman, op10_rule_ledger, op11_license_index)
 }
