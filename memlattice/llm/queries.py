@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm import bpe, decontam, huffman, licenses, line_dedup, negatives, pii, quality, secrets, sharding, simhash, url_filter
+from memlattice.llm import bpe, decontam, huffman, licenses, line_dedup, negatives, pii, prefix_trie, quality, secrets, sharding, simhash, url_filter
 from memlattice.llm.common import arrow_rows, scratch, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -69,6 +69,10 @@ def op11_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digests(licenses.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.tries(table(spark, sf_dir, "conversations"))
+
+
 def op13_pq_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
@@ -76,5 +80,5 @@ def op13_pq_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_pii_boosting, op3_line_chunks, op4_simhash, op5_url_models, op6_secret_ledger, op7_hash_tree, op8_minhash_containment, op9_huffman, op10_rule_ledger, op11_license_index, op13_pq_negatives)
+    for f in (op1_byte_bpe, op2_pii_boosting, op3_line_chunks, op4_simhash, op5_url_models, op6_secret_ledger, op7_hash_tree, op8_minhash_containment, op9_huffman, op10_rule_ledger, op11_license_index, op12_prefix_trie, op13_pq_negatives)
 }
