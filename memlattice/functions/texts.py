@@ -109,22 +109,27 @@ def redacted(text: Column, rules: Mapping[str, str] = REDACTIONS) -> Column:
 
 
 def screened(df: DataFrame, text: str, action: str = "redact") -> DataFrame:
-    """``df`` with ``redacted``, the ``matched`` labels in the order of the rules, and ``outcome``: allow, redact or block.
+    """``df`` with ``redacted``, the ``matched`` labels in the order of the rules, and ``outcome``: allow, redact, block or flag.
 
     ``action`` is what a match leads to; without a match, or where it is allow, the
-    text is allowed as it is.  Texts are redacted once, behind a row generator that
-    keeps the long expression from being copied.
+    text is allowed as it is.  A label is matched if its rule changed the text as the
+    rules before left it, whatever markers the text came with.  A blocked text is not
+    handed on: ``redacted`` is null.  A null text has no match.
     """
-    out = F.when(F.col(text).rlike(HINTS), redacted(F.col(text))).otherwise(F.col(text))
-    once = df.select("*", F.inline(F.array(F.struct(out.alias("_out")))))
-    labels = F.array(*map(F.lit, REDACTIONS))
-    added = F.filter(labels, lambda x: F.contains("_out", F.concat(F.lit("[REDACTED:"), x, F.lit("]"))) & ~F.contains(F.col(text), F.concat(F.lit("[REDACTED:"), x, F.lit("]"))))
-    matched = F.when(F.col("_out") != F.col(text), added).otherwise(F.array().cast("array<string>"))
-    found = once.withColumn("matched", matched)
+    rules = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(pattern).alias("pattern")) for label, pattern in REDACTIONS.items()))
+    none = F.array().cast("array<string>")
+
+    def step(state: Column, rule: Column) -> Column:
+        changed = F.regexp_replace(state["text"], rule["pattern"], F.concat(F.lit("[REDACTED:"), rule["label"], F.lit("]")))
+        # An array of one holds the new text, which is used three times and made once.
+        return F.transform(F.array(changed), lambda new: F.struct(new.alias("text"), F.when(new == state["text"], state["matched"]).otherwise(F.array_append(state["matched"], rule["label"])).alias("matched")))[0]
+
+    start = F.struct(F.col(text).alias("text"), none.alias("matched"))
+    found = F.when(F.col(text).rlike(HINTS), F.aggregate(rules, start, step)).otherwise(start)
+    once = df.select("*", F.inline(F.array(F.struct(found.alias("_found"))))).withColumn("matched", F.coalesce("_found.matched", none))
     hit = F.size("matched") > 0
-    outcome = F.when(hit, action).otherwise("allow")
-    shown = F.when(F.lit(action == "redact"), F.col("_out")).otherwise(F.col(text))
-    return found.withColumns({"outcome": outcome, "redacted": shown}).drop("_out")
+    shown = {"redact": F.col("_found.text"), "block": F.when(~hit, F.col(text))}.get(action, F.col(text))
+    return once.withColumns({"outcome": F.when(hit, action).otherwise("allow"), "redacted": shown}).drop("_found")
 
 
 def glob_like(pattern: str) -> str:

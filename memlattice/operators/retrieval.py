@@ -42,14 +42,16 @@ def nearest(queries: DataFrame, units: DataFrame, most: int | None, floor: float
     """``query_id``, ``unit_id``, ``score`` (and ``keys``) of what is at least ``floor``, from each pair of blocks at most ``most`` a query and key.
 
     Both sides are dealt by hash into blocks of QUERY_BLOCK and UNIT_BLOCK rows; with
-    ``partition`` only rows equal in these columns meet.
+    ``partition`` only rows equal in these columns meet.  Null vectors and vectors with a
+    component that is null or not a number take no part; only vectors of one length
+    meet.  Without queries or units there are no rows.
     """
     from pyspark.sql import types as T
 
     by = list(partition)
     count = lambda df, rows: df.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).cast("int").alias("blocks"))
-    q = queries.select(*by, "query_id", F.col("vector").cast("array<double>").alias("v"))
-    u = units.select(*by, *(k for k in keys if k not in by), "unit_id", F.col("embedding").cast("array<double>").alias("v"))
+    q = queries.select(*by, "query_id", F.col("vector").cast("array<double>").alias("v")).where(usable("v"))
+    u = units.select(*by, *(k for k in keys if k not in by), "unit_id", F.col("embedding").cast("array<double>").alias("v")).where(usable("v"))
     nq, nu = count(q, QUERY_BLOCK).withColumnRenamed("blocks", "nq"), count(u, UNIT_BLOCK).withColumnRenamed("blocks", "nu")
     sizes = nq.join(nu, by) if by else nq.crossJoin(nu)  # a row for each value of partition
     meet = lambda df: df.join(sizes, by) if by else df.crossJoin(F.broadcast(sizes))
@@ -63,30 +65,43 @@ def nearest(queries: DataFrame, units: DataFrame, most: int | None, floor: float
     schema = T.StructType([T.StructField(n, kinds.get(n, T.DoubleType())) for n in names[:-1]] + [T.StructField("score", T.DoubleType())])
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({n: [] for n in names})
-        a, b = (np.stack(f["v"].to_numpy()) for f in (left, right))
-        a, b = (v / np.where(n > 0, n, 1)[:, None] for v, n in ((v, np.linalg.norm(v, axis=1)) for v in (a, b)))
-        order = right["unit_id"].argsort(kind="stable").to_numpy()
-        right, b = right.iloc[order], b[order]
-        groups = right.groupby(list(keys), dropna=False).indices.values() if keys else [np.arange(len(right))]
-        found = []
-        for start in range(0, len(a), 256):
-            score = a[start : start + 256] @ b.T
-            score = np.round(score, digits) if digits else score
-            for rows in groups:
-                for k, line in enumerate(score[:, rows]):
-                    good = np.flatnonzero(line >= floor)
-                    if most is not None and len(good) > most:
-                        good = good[np.argsort(-line[good], kind="stable")[:most]]
-                    found.append((np.full(len(good), start + k), rows[good], line[good]))
-        at, to, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        columns = {"query_id": left["query_id"].to_numpy()[at], **{k: right[k].to_numpy()[to] for k in keys}, "unit_id": right["unit_id"].to_numpy()[to], "score": score + 0.0}
-        return pd.DataFrame(columns)
+        sizes = [set(f["v"].map(len)) for f in (left, right)]
+        found = [_best(*(f[f["v"].map(len) == n] for f in (left, right)), list(keys), most, floor, digits) for n in sorted(sizes[0] & sizes[1])]
+        if found:
+            return pd.concat(found)[names]
+        none = {"query_id": left["query_id"].iloc[:0], **{k: right[k].iloc[:0] for k in (*keys, "unit_id")}}
+        return pd.DataFrame({n: v.reset_index(drop=True) for n, v in none.items()} | {"score": np.zeros(0)})[names]
 
     return q.groupBy(*by, "x", "y").cogroup(u.groupBy(*by, "x", "y")).applyInPandas(best, schema)
 
 
+def usable(vector: str) -> Column:
+    """Whether a vector is there, and all its components are numbers."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+
+
+def _best(left: pd.DataFrame, right: pd.DataFrame, keys: list[str], most: int | None, floor: float, digits: int | None) -> pd.DataFrame:
+    """Of each row of ``left`` and key of ``right`` the best by cosine; all vectors have one length."""
+    a, b = (np.stack(f["v"].to_numpy()) for f in (left, right))
+    a, b = (v / np.where(n > 0, n, 1)[:, None] for v, n in ((v, np.linalg.norm(v, axis=1)) for v in (a, b)))
+    order = right["unit_id"].argsort(kind="stable").to_numpy()
+    right, b = right.iloc[order], b[order]
+    groups = right.groupby(keys, dropna=False).indices.values() if keys else [np.arange(len(right))]
+    found = []
+    for start in range(0, len(a), 256):
+        score = a[start : start + 256] @ b.T
+        score = np.round(score, digits) if digits else score
+        for rows in groups:
+            for k, line in enumerate(score[:, rows]):
+                good = np.flatnonzero(line >= floor)
+                if most is not None and len(good) > most:
+                    good = good[np.argsort(-line[good], kind="stable")[:most]]
+                found.append((np.full(len(good), start + k), rows[good], line[good]))
+    at, to, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    columns = {"query_id": left["query_id"].to_numpy()[at], **{k: right[k].to_numpy()[to] for k in keys}, "unit_id": right["unit_id"].to_numpy()[to], "score": score + 0.0}
+    return pd.DataFrame(columns)
+
+
 def document_frequencies(units: DataFrame, text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
     """Units that hold each term; with ``wanted`` (column ``term``) only those terms are counted and shuffled."""
     each = units.select("unit_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))

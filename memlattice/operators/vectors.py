@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlattice.operators.retrieval import nearest, ranked
+from memlattice.operators.retrieval import nearest, ranked, usable
 
 #: Rows the centroids are fitted on, at most, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 8
@@ -26,9 +26,12 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def centroids(units: DataFrame, lists: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means on at most ``sample`` rows, the first by hash of the id; the same rows give the same centroids."""
-    rows = units.select("unit_id", "embedding").orderBy(F.xxhash64("unit_id"), "unit_id").limit(sample).toPandas()
-    v = unit(np.stack(rows["embedding"].to_numpy()).astype(float))
+    """Spherical k-means on at most ``sample`` rows, the first by hash of the id; the same rows give the same centroids, no rows none."""
+    rows = units.where(usable("embedding")).select("unit_id", "embedding").orderBy(F.xxhash64("unit_id"), "unit_id").limit(sample).toPandas()
+    if not len(rows):
+        return np.zeros((0, 0))
+    width = rows["embedding"].map(len).mode()[0]  # vectors of another length cannot be held against these
+    v = unit(np.stack(rows.loc[rows["embedding"].map(len) == width, "embedding"].to_numpy()).astype(float))
     held = v[np.linspace(0, len(v) - 1, min(lists, len(v))).astype(int)]
     for _ in range(rounds):
         near = (v @ held.T).argmax(axis=1)
@@ -41,7 +44,10 @@ def centroids(units: DataFrame, lists: int, sample: int = SAMPLE, rounds: int =
 
 
 def placed(rows: DataFrame, vector: str, held: np.ndarray, most: int) -> DataFrame:
-    """``rows`` with ``list``, once for each of the ``most`` nearest centroids; the centroids go to the tasks."""
+    """``rows`` with ``list``, once for each of the ``most`` nearest centroids; the centroids go to the tasks.
+
+    Rows whose vector is null, holds what is no number or is of another length than the centroids are in no list.
+    """
     from pyspark.sql import types as T
 
     sent = rows.sparkSession.sparkContext.broadcast(held)  # lists x width numbers, both parameters of the index
@@ -52,6 +58,7 @@ def placed(rows: DataFrame, vector: str, held: np.ndarray, most: int) -> DataFra
                 near = np.argsort(-(unit(np.stack(frame[vector].to_numpy()).astype(float)) @ sent.value.T), axis=1, kind="stable")[:, :most]
                 yield frame.loc[frame.index.repeat(near.shape[1])].assign(list=near.reshape(-1))
 
+    rows = rows.where(usable(vector) & (F.size(vector) == held.shape[1]) & F.lit(len(held) > 0))
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("list", T.IntegerType())]))
 
 

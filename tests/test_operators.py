@@ -218,3 +218,18 @@ def test_a_long_group_is_packed_in_time(spark):
             used += r % 7
             taken.append(r)
     assert row.used == used and row.n == len(taken) and row.ranks == ",".join(map(str, taken))
+
+
+def test_markers_in_a_text_switch_no_rule_off(spark):
+    key = "AKIA" + "A1B2C3D4E5F6G7H8"
+    rows = [(1, f"see [REDACTED:aws_access_key] and {key}"), (2, "see [REDACTED:aws_access_key] and sk- nothing"), (3, None), (4, ""), (5, f"{key} {key}, 123-45-6789")]
+    frame = spark.createDataFrame(rows, "id int, text string")
+    found = {r.id: r for r in texts.screened(frame, "text").collect()}
+    label = next(k for k, v in texts.REDACTIONS.items() if "AKIA" in v)
+    assert found[1].matched == [label] and found[1].outcome == "redact" and key not in found[1].redacted
+    assert (found[2].matched, found[2].outcome, found[2].redacted) == ([], "allow", rows[1][1])
+    assert (found[3].matched, found[3].outcome, found[3].redacted) == ([], "allow", None)
+    assert found[5].matched == [label, "ssn_us"] and found[5].redacted == f"[REDACTED:{label}] [REDACTED:{label}], [REDACTED:ssn_us]"
+    blocked = {r.id: r for r in texts.screened(frame, "text", "block").collect()}
+    assert [blocked[k].outcome for k in (1, 2, 3, 5)] == ["block", "allow", "allow", "block"]
+    assert blocked[1].redacted is None and blocked[2].redacted == rows[1][1]
