@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df``, computed now and read from the checkpoint folder from here on.
 
-    The folder is that of ``spark.checkpoint.dir``; where it is unset (tests on one
-    machine) a folder below the warehouse is set for the session.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, on one machine only, a folder below the warehouse is set for the session."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if not context.getCheckpointDir():
-        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_shared")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed now and read from the checkpoint folder from here on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
