@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from memlattice.operators import matching
 from memlattice.plans.registry import Tables, query
 from memlattice.sources import appended
 from memlattice.storage import scratch
@@ -41,3 +43,46 @@ def _(t):
 @query("s13_byte_tail", _LOG + ' WHERE "offset" >= size - 8192 AND back <= 20')
 def _(t):
     return _shown(appended.tail(t.spark, _log(t), 8192, 20))
+
+
+_ASKED = "(SELECT conv_id AS query_id, text FROM conversations WHERE conv_id % 20 = 0 AND turn = 0)"
+
+
+@query("r31_weighted_selection", f"""WITH w AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM {_ASKED}),
+    d AS (SELECT doc_id AS unit_id, lower(text || ' ' || left(source, 2) || ' ' || lang || '.') AS low, lang || '.' AS condition FROM documents),
+    o AS (SELECT query_id, unit_id, sum(CASE WHEN length(term) > 1 THEN 3.0 ELSE 1.0 END) AS s FROM w JOIN d ON contains(low, term) GROUP BY 1, 2
+        UNION ALL SELECT query_id, unit_id, 6.0 FROM {_ASKED} q JOIN d ON contains(lower(q.text), 'sr') OR contains(lower(q.text), condition)),
+    b AS (SELECT query_id, unit_id, round(CAST(sum(s) AS DOUBLE), 6) AS score FROM o GROUP BY 1, 2)
+    SELECT query_id, unit_id, score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) <= 20""")
+def _(t):
+    asked = t.conversations.where("conv_id % 20 = 0 AND turn = 0").select(F.col("conv_id").alias("query_id"), "text")
+    units = t.documents.select(F.col("doc_id").alias("unit_id"), "text", F.array(F.substring("source", 1, 2), F.concat("lang", F.lit("."))).alias("conditions"))
+    return matching.select_weighted(asked, units, 20).select("query_id", "unit_id", "score")
+
+
+_NOW, _GONE = ("the ", "tion", "der", "current"), ("no longer", "ing the", "ation")
+
+
+def _bonus(markers, weight, cap):
+    return f"round(CAST(least({cap}, {weight} * (" + " + ".join(f"CAST(contains(lower(text), '{m}') AS INTEGER)" for m in markers) + ")) AS DOUBLE), 6)"
+
+
+@query("r28_marker_bonus", f"SELECT doc_id, {_bonus(_NOW, 0.09, 0.27)} AS current, {_bonus(_GONE, 0.15, 0.30)} AS retired FROM documents")
+def _(t):
+    return matching.marker_bonus(t.documents.select("doc_id", "text"), "doc_id", "text", {"current": (_NOW, 0.09, 0.27), "retired": (_GONE, 0.15, 0.30)})
+
+
+_PIECE = "'[role: ' || role || '] ' || text || ' [' || role || ':end]'"
+
+
+@query("r25_role_spans", f"""WITH p AS (SELECT conv_id, turn, role, text, {_PIECE} AS piece, lead(role) OVER w AS role2, lead(text) OVER w AS text2, lead({_PIECE}) OVER w AS piece2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    s AS (SELECT conv_id, turn, role AS r, text AS b, length('[role: ' || role || '] ') AS pos FROM p
+        UNION ALL SELECT conv_id, turn, role2, text2, length(piece) + length('[role: ' || role2 || '] ') FROM p WHERE role2 IS NOT NULL),
+    b AS (SELECT conv_id, turn, r, trim(b, E' \\n\\t\\r') AS b, pos + length(b) - length(ltrim(b, E' \\n\\t\\r')) AS pos FROM s WHERE r = 'user'),
+    h AS (SELECT *, list_min(list_filter([instr(lower(b), x) FOR x IN ['the', 'and', 'der']], lambda x: x > 0)) - 1 AS anchor FROM b)
+    SELECT conv_id, turn, CAST(pos + greatest(0, anchor - 700) AS INTEGER) AS span_start, CAST(pos + least(length(b), anchor + 703) AS INTEGER) AS span_end, substring(b, greatest(0, anchor - 700) + 1, least(length(b), anchor + 703) - greatest(0, anchor - 700)) AS span FROM h WHERE anchor IS NOT NULL""")
+def _(t):
+    piece = F.concat(F.lit("[role: "), "role", F.lit("] "), "text", F.lit(" ["), "role", F.lit(":end]"))
+    said = t.conversations.select("conv_id", "turn", piece.alias("piece"))
+    both = said.withColumn("text", F.concat("piece", F.coalesce(F.lead("piece").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))))
+    return matching.literal_spans(both, ["conv_id", "turn"], "text", ["the", "and", "der"], role="user").drop("format_role")
