@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from memlattice.operators import matching
+from memlattice.operators import matching, retrieval, windows
 from memlattice.plans.registry import Tables, query
 from memlattice.sources import appended
 from memlattice.storage import scratch
@@ -86,3 +86,38 @@ def _(t):
     said = t.conversations.select("conv_id", "turn", piece.alias("piece"))
     both = said.withColumn("text", F.concat("piece", F.coalesce(F.lead("piece").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))))
     return matching.literal_spans(both, ["conv_id", "turn"], "text", ["the", "and", "der"], role="user").drop("format_role")
+
+
+_LENGTHS = (0, 1, 7, 30, 365, 3650)
+_WINDOWS = """(SELECT c_custkey AS window_id, CASE WHEN c_custkey % 7 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL (c_custkey % 29) DAY + INTERVAL (c_custkey) SECOND END AS low,
+    CASE WHEN c_custkey % 11 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL (c_custkey % 29) DAY + INTERVAL (c_custkey) SECOND + INTERVAL ([0, 1, 7, 30, 365, 3650][c_custkey % 6 + 1]) DAY END AS high FROM customer WHERE c_custkey % 20 = 0)"""
+
+
+def _windows(t: Tables):
+    """Windows of no to 3,650 days and with open ends, of the customers whose key is divisible by 20."""
+    begin = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("c_custkey") % 29).cast("int"), secs=F.col("c_custkey").cast("decimal(18,6)"))
+    length = F.get(F.array(*map(F.lit, _LENGTHS)), (F.col("c_custkey") % 6).cast("int"))
+    end = begin + F.make_dt_interval(days=length)
+    return t.customer.where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("window_id"), F.when(F.col("c_custkey") % 7 != 0, begin).alias("low"), F.when(F.col("c_custkey") % 11 != 0, end).alias("high"))
+
+
+@query("j11_many_windows", f"SELECT window_id, count(*) AS n, min(event_id) AS first_event, CAST(sum(event_id) AS BIGINT) AS ids FROM {_WINDOWS} JOIN events ON (low IS NULL OR ts >= low) AND (high IS NULL OR ts <= high) GROUP BY 1")
+def _(t):
+    inside = windows.holding(_windows(t), t.events.select("event_id", F.col("ts").alias("at")))
+    return inside.groupBy("window_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.sum("event_id").alias("ids"))
+
+
+@query("f9_many_overlaps", f"""WITH s AS (SELECT event_id, ts AS b, CASE WHEN event_id % 13 <> 0 THEN ts + INTERVAL (event_id % 90) HOUR END AS e FROM events)
+    SELECT window_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM {_WINDOWS} JOIN s ON (high IS NULL OR b <= high) AND (low IS NULL OR e IS NULL OR e >= low) GROUP BY 1""")
+def _(t):
+    end = F.when(F.col("event_id") % 13 != 0, F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 90).cast("int")))
+    held = windows.overlapping(_windows(t), t.events.select("event_id", F.col("ts").alias("start"), end.alias("end")))
+    return held.groupBy("window_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("r12_window_pools", f"""SELECT window_id, event_type AS kind, event_id AS unit_id, k FROM (SELECT window_id, event_type, event_id, row_number() OVER (PARTITION BY window_id, event_type ORDER BY value DESC, event_id) AS k
+    FROM {_WINDOWS} JOIN events ON (low IS NULL OR ts >= low) AND (high IS NULL OR ts <= high)) WHERE k <= 60""")
+def _(t):
+    units = t.events.select(F.col("event_id").alias("unit_id"), F.col("event_type").alias("kind"), "value", F.col("ts").alias("at"))
+    inside = windows.holding(_windows(t), units)
+    return retrieval.ranked(inside, ["window_id", "kind"], F.desc("value"), F.asc("unit_id"), most=60, name="k").select("window_id", "kind", "unit_id", "k")

@@ -9,7 +9,7 @@ from memlattice.config import DEFAULT, Config
 from memlattice.functions import times
 from memlattice.functions.scoring import combined
 from memlattice.functions.texts import token_estimate
-from memlattice.operators import retrieval
+from memlattice.operators import retrieval, windows
 from memlattice.operators.budget import pack
 from memlattice.storage import settled
 
@@ -65,11 +65,8 @@ def temporal(queries: DataFrame, units: DataFrame, links: DataFrame | None, dept
     Entry points score by their nearness to the middle of the window.
     """
     window = queries.where("low IS NOT NULL AND high IS NOT NULL").select("query_id", "vector", "low", "high")
-    # Each query's window is cut into buckets of days, so that units meet only queries of their days.
-    day = lambda c: F.floor(times.micros(c) / times.DAY)
-    asked = window.select("*", F.explode(F.sequence(day(F.col("low")), day(F.col("high")))).alias("day"))
-    dated = units.where(F.col("at").isNotNull()).select("unit_id", "kind", "embedding", "at", day(F.col("at")).alias("day"))
-    inside = dated.join(asked, "day").where(F.col("at").between(F.col("low"), F.col("high")))
+    dated = units.where(retrieval.usable("embedding")).select("unit_id", "kind", "embedding", "at")
+    inside = windows.holding(window.where(retrieval.usable("vector")), dated).where(F.size("vector") == F.size("embedding"))
     inside = inside.withColumn("similarity", F.round(retrieval.cosine(F.col("vector"), F.col("embedding")), 6)).where(F.col("similarity") >= config.temporal_floor)
     pool = retrieval.ranked(inside, ["query_id", "kind"], F.desc("similarity"), F.asc("unit_id"), most=config.temporal_pool, name="k")
     share = (times.micros(F.col("at")) - times.micros(F.col("low"))) / F.greatest(times.micros(F.col("high")) - times.micros(F.col("low")), F.lit(1))
