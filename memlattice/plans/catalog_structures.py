@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from memlattice.operators import matching, retrieval, windows
+from memlattice.operators import matching, retrieval, selection, windows
 from memlattice.plans.registry import Tables, query
 from memlattice.sources import appended
 from memlattice.storage import scratch
@@ -121,3 +121,31 @@ def _(t):
     units = t.events.select(F.col("event_id").alias("unit_id"), F.col("event_type").alias("kind"), "value", F.col("ts").alias("at"))
     inside = windows.holding(_windows(t), units)
     return retrieval.ranked(inside, ["window_id", "kind"], F.desc("value"), F.asc("unit_id"), most=60, name="k").select("window_id", "kind", "unit_id", "k")
+
+
+_INTENTS = {"motion": (6.0, ("tion", "ment")), "article": (3.0, ("the ", "der ", "que ")), "being": (2.0, ("heit", "ing"))}
+
+
+@query("r30_preferences")
+def _(t):
+    """Documents as preferences, their lines as quotes, for each conversation whose id is divisible by 20."""
+    asked = t.conversations.where("conv_id % 20 = 0").groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("text"), F.max_by("text", "turn").alias("context"))
+    units = t.documents.select(F.col("doc_id").alias("unit_id"), "text", F.array(F.concat("lang", F.lit(" "))).alias("conditions"), F.split("text", "\n").alias("quotes"))
+    return selection.preferences(asked, units, _INTENTS).select("query_id", "unit_id", "place", "score", "tier")
+
+
+def slotted(t: Tables):
+    """Turns as items of packets of 800 characters, their roles as types; slots are words that they hold."""
+    slots = F.filter(F.array(F.lit("the"), F.lit("der"), F.lit("que"), F.lit("tion")), lambda s: F.contains(F.lower("text"), s))
+    role = F.when(F.col("turn").isin(0, 2), "guidance").when(F.col("turn") % 3 == 0, "direct").otherwise("bridge")
+    items = t.conversations.select(F.col("conv_id").alias("packet"), F.expr("turn div 2").alias("claim"), F.col("turn").alias("place"), F.col("turn").alias("record_id"), role.alias("role"), F.col("role").alias("type"), F.substring("text", 1, 240).alias("text"), slots.alias("slots"))
+    items = items.withColumn("text", F.when(F.col("place") % 7 != 3, F.col("text")))
+    requests = t.conversations.select(F.col("conv_id").alias("packet")).distinct().select("packet", F.array(F.lit("tion"), F.lit("der"), F.lit("the")).alias("required"), F.lit(800).alias("budget"), F.lit(400).alias("reserve"), F.array(F.lit("user")).alias("preferred"))
+    return items, requests
+
+
+@query("x6_slotted_packets")
+def _(t):
+    items, requests = slotted(t)
+    built = selection.packets(items, requests)
+    return built.select("packet", "claim", "state", F.array_join("covers", ",").alias("covers"), F.array_join("evidence", ",").alias("evidence"))
