@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlattice.operators import matching, retrieval, selection, windows
 from memlattice.plans.registry import Tables, query
-from memlattice.sources import appended
+from memlattice.sources import appended, transfer
 from memlattice.storage import scratch
 
 _ESCAPED = r"""replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t')"""
@@ -149,3 +149,35 @@ def _(t):
     items, requests = slotted(t)
     built = selection.packets(items, requests)
     return built.select("packet", "claim", "state", F.array_join("covers", ",").alias("covers"), F.array_join("evidence", ",").alias("evidence"))
+
+
+_TREE = "(SELECT p_partkey AS page, CASE WHEN p_partkey % 50 = 11 THEN p_partkey + 2 WHEN p_partkey % 10 <> 1 THEN p_partkey - 1 WHEN p_partkey % 40 = 1 THEN -1 END AS parent FROM part)"
+
+
+@query("s15_page_layers", f"""WITH RECURSIVE p AS {_TREE}, d AS (SELECT page, 0 AS layer FROM p WHERE parent IS NULL OR parent NOT IN (SELECT page FROM p) UNION ALL SELECT p.page, d.layer + 1 FROM d JOIN p ON p.parent = d.page),
+    w AS (SELECT page, parent AS up, 1 AS n FROM p WHERE page NOT IN (SELECT page FROM d) UNION ALL SELECT w.page, p.parent, n + 1 FROM w JOIN p ON p.page = w.up WHERE n < 12),
+    c AS (SELECT page, bool_or(up = page) AS on_cycle FROM w GROUP BY 1), l AS (SELECT w.page, min(w.up) AS cycle FROM w JOIN c ON c.page = w.up AND c.on_cycle GROUP BY 1)
+    SELECT p.page, CAST(layer AS BIGINT) AS layer, l.cycle, coalesce(on_cycle, FALSE) AS on_cycle FROM p LEFT JOIN d USING (page) LEFT JOIN c USING (page) LEFT JOIN l USING (page)""")
+def _(t):
+    key = F.col("p_partkey")
+    parent = F.when(key % 50 == 11, key + 2).when(key % 10 != 1, key - 1).when(key % 40 == 1, F.lit(-1))
+    return transfer.layers(t.part.select(key.alias("page"), parent.alias("parent")), "page", "parent")
+
+
+def _transferred(policy):
+    bank = [transfer.Table("customers", "c"), transfer.Table("orders", "o", {"c": "customers"})]
+
+    def run(t: Tables):
+        customers, orders = t.customer.select(F.col("c_custkey").alias("c"), F.col("c_name").alias("name")), t.orders.select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"), F.lit("old").alias("side"))
+        store = {"customers": customers.where("c % 3 <> 0"), "orders": orders.where("c % 3 <> 0")}
+        sent = {"customers": customers.where("c % 2 = 0").withColumn("name", F.lit("new")), "orders": orders.where("c % 2 = 0 AND o % 5 <> 0").withColumn("side", F.lit("new"))}
+        out, _ = transfer.imported(store, sent, bank, policy)
+        return out["orders"].join(out["customers"], "c").select("o", "c", "side", F.col("name").alias("name"))
+
+    return run
+
+
+_OLD = "SELECT o_orderkey AS o, o_custkey AS c, 'old' AS side, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 3 <> 0"
+_NEW = "SELECT o_orderkey AS o, o_custkey AS c, 'new' AS side, 'new' AS name FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey % 5 <> 0"
+query("s15_import_skip", f"{_OLD} UNION ALL {_NEW} AND o_custkey % 3 = 0")(_transferred("skip"))
+query("s15_import_replace", f"{_OLD} AND o_custkey % 2 <> 0 UNION ALL {_NEW}")(_transferred("replace"))
