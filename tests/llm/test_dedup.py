@@ -233,37 +233,81 @@ def test_line_edges(docs, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def spark_hash(*values):
+    """XXH64 over values one after the other, as Spark chains it."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little"), seed)
+    return seed
+
+
 def without_repeats(texts):
-    """The lines of each text (by place in the list) that stay, by comparing all windows of two lines and all long lines."""
+    """The lines of each text (by place in the list) that stay, by listing all chunks and comparing their lines."""
     split = [[(p, line) for p, line in enumerate(t.split("\n")) if line] for t in texts]
-    count = lambda line: len(re.findall(r"[^ \t-\r]+", line))
-    first, stay = {}, []
+    single = collections.Counter(line for lines in split for _, line in lines)
+    both = collections.Counter((a, b) for lines in split for (_, a), (_, b) in zip(lines, lines[1:], strict=False))
+    together = {(a, b) for (a, b), n in both.items() if n > 1 and 2 * n > single[a] and 2 * n > single[b]}
+    cut = lambda a, b: spark_hash(spark_hash(a), spark_hash(b)) % line_dedup.ROLLING == 0
+
+    def pieces(lines, joined):
+        start = 0
+        for k in range(1, len(lines) + 1):
+            if k == len(lines) or not joined(k):
+                if k - start > 1:
+                    yield start, k
+                start = k
+
+    chunks = []
     for d, lines in enumerate(split):
-        marked = []
-        for i in range(len(lines) - 1):
-            at = first.setdefault((lines[i][1], lines[i + 1][1]), (d, i))
-            marked.append(at != (d, i) and not (at[0] == d and i < at[1] + 2))
-        gone, i = set(), 0
-        while i < len(marked):
-            j = i
-            while j < len(marked) and marked[j]:
-                j += 1
-            if j > i:
-                gone |= set(range(lines[i][0], lines[j][0] + 1))
-            i = j + 1
-        for i, (p, line) in enumerate(lines):
-            if count(line) >= 50 and first.setdefault(line, (d, i)) != (d, i):
-                gone.add(p)
-        stay.append("\n".join(line for p, line in enumerate(texts[d].split("\n")) if p not in gone))
-    return stay
-
-
-def test_line_query_against_all_windows(spark, sf_dir, corpus):
+        text = [line for _, line in lines]
+        gap = lambda k: (text[k - 1], text[k])  # noqa: B023, E731
+        runs = set(pieces(lines, lambda k: gap(k) in together))  # noqa: B023
+        parts = set(pieces(lines, lambda k: gap(k) in together and not cut(*gap(k))))  # noqa: B023
+        for n in {both[gap(k)] for k in range(1, len(lines))}:
+            parts |= set(pieces(lines, lambda k: gap(k) in together and both[gap(k)] == n))  # noqa: B023
+        parts |= {(k, k + 1) for k, line in enumerate(text) if len(re.findall(r"[^ \t-\r]+", line)) >= 50}
+        chunks += [(tuple(text[a:b]), (d, a), b, (a, b) in runs) for a, b in runs | parts]
+    first = {}
+    for text, place, _, _ in chunks:
+        first[text] = min(first.get(text, place), place)
+    gone = [set() for _ in texts]
+    for text, (d, a), b, _ in chunks:
+        if first[text] != (d, a):
+            gone[d] |= set(range(split[d][a][0], split[d][b - 1][0] + 1))
+    return ["\n".join(line for p, line in enumerate(t.split("\n")) if p not in gone[d]) for d, t in enumerate(texts)]
+
+
+def test_line_query_against_all_chunks(spark, sf_dir, corpus):
     rows = {r.doc_id: r.text for r in queries.op3_line_chunks(spark, sf_dir).collect()}
     ids = sorted(i for i in corpus if corpus[i] is not None)
     assert [rows[i] for i in ids] == without_repeats([corpus[i] for i in ids])
 
 
+def test_nothing_is_put_together_from_several_documents(docs, monkeypatch):
+    a, b, c, d = ("A line", "B line", "C line", "D line")
+    texts = [f"{a}\n{b}\nx1", f"x2\n{b}\n{c}", f"{c}\n{d}\nx3", f"{a}\n{b}\n{c}\n{d}"]
+    monkeypatch.setattr(line_dedup, "ROLLING", 1 << 40)  # no cut here by chance
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs(*texts)).collect()} == dict(enumerate(texts))
+
+
+def test_whatever_goes_stands_whole_in_one_document_before(docs, monkeypatch):
+    import random
+
+    draw = random.Random(7)
+    for rolling in (2, 8):
+        monkeypatch.setattr(line_dedup, "ROLLING", rolling)
+        passages = [[f"{p} {k}" for k in range(draw.randint(1, 7))] for p in "abcdef"]
+        texts = []
+        for i in range(60):
+            lines = []
+            for _ in range(draw.randint(0, 4)):
+                lines += [*draw.choice(passages)[: draw.randint(1, 9)], *([""] * draw.randint(0, 1)), *([f"own {i}"] if draw.random() < 0.5 else [])]
+            texts.append("\n".join(lines))
+        rows = {r.doc_id: r.text for r in line_dedup.dedup(docs(*texts)).collect()}
+        assert [rows[i] for i in range(60)] == without_repeats(texts)
+        assert sum(len(texts[i]) > len(rows[i]) for i in rows) > 10
+
+
 def test_a_passage_goes_whatever_its_lines_do_elsewhere(docs):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
     texts = [f"one\n{a}\n{b}\n{c}\n{d}\nlast", f"alone\n{b}\nby itself", f"two\n{a}\n{b}\n\n{c}\n{d}", f"three\n{a}\n{b}\ncut short", f"short line\n{a}\n{b}\n{c}\n{d}", "short line\nanother"]
