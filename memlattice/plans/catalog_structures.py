@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from memlattice.operators import matching, retrieval, selection, windows
+from memlattice.functions import cron
+from memlattice.operators import matching, retrieval, scope_limits, selection, windows
 from memlattice.plans.registry import Tables, query
 from memlattice.sources import appended, transfer
 from memlattice.storage import scratch
@@ -181,3 +182,37 @@ _OLD = "SELECT o_orderkey AS o, o_custkey AS c, 'old' AS side, c_name AS name FR
 _NEW = "SELECT o_orderkey AS o, o_custkey AS c, 'new' AS side, 'new' AS name FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey % 5 <> 0"
 query("s15_import_skip", f"{_OLD} UNION ALL {_NEW} AND o_custkey % 3 = 0")(_transferred("skip"))
 query("s15_import_replace", f"{_OLD} AND o_custkey % 2 <> 0 UNION ALL {_NEW}")(_transferred("replace"))
+
+
+_PART_TAGS = "list_sort([p_brand, 'size_' || (p_size % 10), lower(string_split(p_type, ' ')[1])])"
+_RULES = """(SELECT s_suppkey AS rule_id, CASE s_suppkey % 4 WHEN 0 THEN ['Brand#' || (s_suppkey % 5 + 1) || '*', 'size_' || (s_suppkey % 10), '*'] WHEN 1 THEN ['Brand#?' || (s_suppkey % 7), 'size_[0-5]', '*o*']
+    WHEN 2 THEN ['*_' || (s_suppkey % 10), '*' || (s_suppkey % 5 + 1), 's*'] ELSE ['Brand#*', '*'] END AS globs, CAST(s_suppkey % 40 AS INTEGER) AS "limit" FROM supplier)"""
+
+
+@query("c5_scope_limits", f"""WITH s AS (SELECT DISTINCT {_PART_TAGS} AS scope FROM part), o AS (SELECT {_PART_TAGS} AS tags FROM part),
+    g AS (SELECT rule_id, "limit", unnest(globs) AS gl, len(globs) AS n FROM {_RULES}), t AS (SELECT scope, unnest(scope) AS tag FROM s),
+    f AS (SELECT scope, rule_id, n, count(DISTINCT gl) AS globs, count(DISTINCT tag) AS tags FROM t JOIN g ON tag GLOB gl GROUP BY ALL), w AS (SELECT scope, min(rule_id) AS rule_id FROM f WHERE globs = n AND tags = len(scope) GROUP BY 1),
+    c AS (SELECT tags AS scope, count(*) AS n FROM o GROUP BY 1)
+    SELECT array_to_string(s.scope, ',') AS scope, w.rule_id, coalesce(r."limit", 25) AS "limit", c.n, CAST(greatest(coalesce(r."limit", 25) - c.n, 0) AS BIGINT) AS room FROM s JOIN c USING (scope) LEFT JOIN w USING (scope) LEFT JOIN {_RULES} r USING (rule_id)""")
+def _(t):
+    tags = F.array_sort(F.array("p_brand", F.concat(F.lit("size_"), (F.col("p_size") % 10).cast("string")), F.lower(F.split("p_type", " ")[0])))
+    rows = t.part.select(tags.alias("tags"))
+    key = F.col("s_suppkey")
+    of = lambda n: (key % n).cast("string")
+    plus = (key % 5 + 1).cast("string")
+    kinds = (
+        F.array(F.concat(F.lit("Brand#"), plus, F.lit("*")), F.concat(F.lit("size_"), of(10)), F.lit("*")), F.array(F.concat(F.lit("Brand#?"), of(7)), F.lit("size_[0-5]"), F.lit("*o*")),
+        F.array(F.concat(F.lit("*_"), of(10)), F.concat(F.lit("*"), plus), F.lit("s*")), F.array(F.lit("Brand#*"), F.lit("*")),
+    )
+    globs = F.when(key % 4 == 0, kinds[0]).when(key % 4 == 1, kinds[1]).when(key % 4 == 2, kinds[2]).otherwise(kinds[3])
+    rules = t.supplier.select(key.alias("rule_id"), globs.alias("globs"), (key % 40).cast("int").alias("limit"))
+    return scope_limits.room(rows.select(F.col("tags").alias("scope")), rules, rows, 25).withColumn("scope", F.array_join("scope", ","))
+
+
+@query("c16_cron_due", """SELECT o_orderkey, date_trunc('day', o_orderdate) + INTERVAL 1 DAY * ((CASE WHEN o_orderkey % 2 = 0 THEN 7 ELSE 8 END - isodow(o_orderdate)) % 7 + CASE WHEN (CASE WHEN o_orderkey % 2 = 0 THEN 7 ELSE 8 END - isodow(o_orderdate)) % 7 = 0
+        AND o_orderdate >= date_trunc('day', o_orderdate) + INTERVAL 1 HOUR * (o_orderkey % 24) + INTERVAL 30 MINUTE THEN 7 ELSE 0 END) + INTERVAL 1 HOUR * (o_orderkey % 24) + INTERVAL 30 MINUTE AS due
+    FROM orders WHERE o_orderkey % 3 <> 0""")
+def _(t):
+    """Orders as schedules: Sundays or Mondays at half past an hour; those with an open order are not asked."""
+    expression = F.concat(F.lit("30 "), (F.col("o_orderkey") % 24).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " * * 7").otherwise(" * * mon"))
+    return cron.with_next_due(t.orders.where("o_orderkey % 3 <> 0"), expression, F.col("o_orderdate")).select("o_orderkey", "due")
