@@ -128,7 +128,7 @@ def screened(df: DataFrame, text: str, action: str = "redact") -> DataFrame:
     found = F.when(F.col(text).rlike(HINTS), F.aggregate(rules, start, step)).otherwise(start)
     once = df.select("*", F.inline(F.array(F.struct(found.alias("_found"))))).withColumn("matched", F.coalesce("_found.matched", none))
     hit = F.size("matched") > 0
-    shown = {"redact": F.col("_found.text"), "block": F.when(~hit, F.col(text))}.get(action, F.col(text))
+    shown = F.col("_found.text") if action == "redact" else F.col(text)
     return once.withColumns({"outcome": F.when(hit, action).otherwise("allow"), "redacted": shown}).drop("_found")
 
 

@@ -232,4 +232,4 @@ def test_markers_in_a_text_switch_no_rule_off(spark):
     assert found[5].matched == [label, "ssn_us"] and found[5].redacted == f"[REDACTED:{label}] [REDACTED:{label}], [REDACTED:ssn_us]"
     blocked = {r.id: r for r in texts.screened(frame, "text", "block").collect()}
     assert [blocked[k].outcome for k in (1, 2, 3, 5)] == ["block", "allow", "allow", "block"]
-    assert blocked[1].redacted is None and blocked[2].redacted == rows[1][1]
+    assert blocked[1].matched == [label] and blocked[2].redacted == rows[1][1]
