@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memlattice.functions import cron
 from memlattice.operators import matching, retrieval, scope_limits, selection, windows
 from memlattice.plans.registry import Tables, query
-from memlattice.sources import appended, transfer
+from memlattice.sources import appended, backup, transfer
 from memlattice.storage import scratch
 
 _ESCAPED = r"""replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t')"""
@@ -216,3 +216,13 @@ def _(t):
     """Orders as schedules: Sundays or Mondays at half past an hour; those with an open order are not asked."""
     expression = F.concat(F.lit("30 "), (F.col("o_orderkey") % 24).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " * * 7").otherwise(" * * mon"))
     return cron.with_next_due(t.orders.where("o_orderkey % 3 <> 0"), expression, F.col("o_orderdate")).select("o_orderkey", "due")
+
+
+@query("s16_backup_restored", "SELECT c_nationkey, count(*) AS customers, CAST(sum(orders) AS BIGINT) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1")
+def _(t):
+    """Customers and orders, backed up, verified and read back."""
+    path = scratch(t.spark, "backup")
+    backup.backup({"customer": t.customer, "orders": t.orders}, path)
+    held = backup.restore(t.spark, path)
+    placed = held["orders"].groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
+    return held["customer"].join(placed, "c_custkey", "left").groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.sum("orders").alias("orders"))
