@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlattice.storage import settled
+
 
 def fixed_chunks(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts as chunks of ``size`` characters with their hashes; an empty text has one."""
@@ -36,30 +38,110 @@ def fold(queue: DataFrame, keys: Sequence[str], order: str, tokens: str, peers:
     return each.where((F.col("place") == 1) | ((F.col("place") <= peers) & (F.col("used") <= budget)))
 
 
+def fold_width(tries: int, peers: int = 16) -> int:
+    """How many a run takes besides its first: half as many after each failure, in the end none."""
+    return peers if tries <= 0 else peers >> min(tries, 31)
+
+
+def fold_runs(queue: DataFrame, keys: Sequence[str], order: Sequence[str], tokens: str, shape: str, tries: str, peers: int = 16, budget: int = 8000) -> DataFrame:
+    """The rows of the next run of each key's queue, with ``place`` from 1.
+
+    A run takes the first row and, if that has a ``shape``, the rows directly after it
+    that have the same: at most ``fold_width`` of the first's ``tries``, and together
+    within ``budget`` tokens.  It ends at the first row that does not fit.  The first is
+    always taken.  Null tokens count as none, null tries as no failure.
+    """
+    by = Window.partitionBy(*keys).orderBy(*order)
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    width = F.when(F.first(tries).over(upto) > 0, F.lit(peers) / F.pow(F.lit(2.0), F.least(F.first(tries).over(upto), F.lit(31)))).otherwise(F.lit(peers))
+    each = queue.withColumns({"place": F.row_number().over(by), "_used": F.sum(F.coalesce(F.col(tokens), F.lit(0))).over(upto), "_width": F.floor(width)})
+    each = each.withColumn("_other", F.coalesce(F.col(shape) != F.first(shape).over(upto), F.lit(True)) & (F.col("place") > 1))
+    fits = ~F.max("_other").over(upto) & (F.col("place") <= F.col("_width") + 1) & (F.max("_used").over(upto) <= budget)
+    return each.withColumn("_fits", fits).where((F.col("place") == 1) | F.col("_fits")).drop("_used", "_width", "_other", "_fits")
+
+
+def ledger_outcomes(events: DataFrame, keep_seconds: int) -> DataFrame:
+    """Every row (``key``, ``id``, ``at``, ``digest``) with ``state`` and ``stored_id``, the row its key was stored by.
+
+    ``stored``: the key is new, or was not met for longer than ``keep_seconds``.
+    ``replayed``: stored before with the same digest.  ``conflict``: with another one;
+    what was stored stays.  Rows count by time, then id, which is theirs alone; those
+    without a key or time take no part.  Null digests are equal.
+
+    Within a block of ``keep_seconds`` no key is forgotten, so only the first row of a
+    block can be stored: blocks are aggregated first, a window runs over a key's blocks
+    alone, and the rows, also those of a key with most of them, are only joined to theirs.
+    """
+    width = max(keep_seconds, 0) * 1_000_000
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    rows = events.where("key IS NOT NULL AND at IS NOT NULL").select("key", "id", micros.alias("_at"), "digest")
+    rows = rows.withColumn("_block", F.floor((F.col("_at") - F.pmod("_at", F.lit(max(width, 1)))) / F.lit(max(width, 1))))
+    first = F.min(F.struct("_at", "id", "digest")).alias("_first")
+    blocks = rows.groupBy("key", "_block").agg(first, F.max("_at").alias("_last"))
+    by = Window.partitionBy("key").orderBy("_block")
+    fresh = F.coalesce(F.col("_first._at") - F.lag("_last").over(by) > width, F.lit(True))
+    blocks = blocks.withColumn("_start", F.when(fresh, F.col("_first")))
+    blocks = blocks.withColumn("_start", F.last("_start", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    each = rows.join(blocks.select("key", "_block", "_start"), ["key", "_block"])
+    is_first = (F.col("_at") == F.col("_start._at")) & (F.col("id") == F.col("_start.id"))
+    state = F.when(is_first, "stored").when(F.col("digest").eqNullSafe(F.col("_start.digest")), "replayed").otherwise("conflict")
+    return each.select("key", "id", state.alias("state"), F.col("_start.id").alias("stored_id"))
+
+
+#: Tasks that are looked at in one pass, for each slot that is to be filled.
+LOOK_AHEAD = 16
+
+
 def claimable(tasks: DataFrame, now: Column, keys: Sequence[str] = ("serialization_key",), shared: int = 10, reserved: Mapping[str, int] | None = None) -> DataFrame:
-    """Tasks that a worker takes: pending and due, with ``slot``, the type a slot is reserved for or shared.
+    """Tasks that a worker takes: pending and due, with ``slot``, the type a slot is reserved for or ``shared``.
+
+    Tasks are taken in one order, ``priority`` (lower first), time and id.  Of all tasks
+    equal in a key (bank, document, ...) one may run: a task is passed over if another
+    with one of its keys is processing or was taken before it.  A null key serializes
+    nothing.  A task takes a slot reserved for its type, or else a shared one; if
+    neither is left it is passed over, and its keys stay free for others.
 
-    Of all tasks equal in a key (bank, document, ...) one may run: none is taken while
-    another is processing, and of several the first by ``priority`` (lower first), time
-    and id.  A null key serializes nothing.  ``reserved`` slots of a type go to its
-    first tasks; what is left competes for the ``shared`` ones.
+    The worker's slots bound what the driver sees: in each pass the first tasks that are
+    still free come to it (``LOOK_AHEAD`` a slot), and at least the first of them is
+    taken, so there are no more passes than slots.
     """
     order = ["priority", "created_at", "operation_id"]
+    spark, left = tasks.sparkSession, {**(reserved or {})}
     free = tasks.where((F.col("status") == "pending") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now)))
     for key in keys:
         busy = tasks.where("status = 'processing'").select(key).where(F.col(key).isNotNull()).distinct()
         free = free.join(busy, key, "left_anti")
-        # Without a key each row is a partition of its own, so that such rows do not meet in one task.
-        own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("-"), F.col("operation_id").cast("string")))
-        first = F.row_number().over(Window.partitionBy(F.col(key).isNull(), own).orderBy(*order))
-        free = free.withColumn("_r", first).where("_r = 1").drop("_r")
-    slots = None
-    for kind, n in (reserved or {}).items():
-        mine = free.where(F.col("type") == kind).orderBy(*order).limit(n).withColumn("slot", F.lit(kind))
-        slots = mine if slots is None else slots.unionByName(mine)
-    rest = free if slots is None else free.join(slots.select("operation_id"), "operation_id", "left_anti")
-    rest = rest.orderBy(*order).limit(shared).withColumn("slot", F.lit("shared"))
-    return rest if slots is None else slots.unionByName(rest)
+    free = settled(free.select(*order, "type", *keys))
+    taken, used = [], {key: set() for key in keys}
+    while shared > 0 or any(n > 0 for n in left.values()):
+        open_ = free
+        for key in keys:  # no more values than slots were taken
+            if used[key]:
+                open_ = open_.where(F.col(key).isNull() | ~F.col(key).isin(*used[key]))
+        if shared <= 0:
+            open_ = open_.where(F.col("type").isin(*[kind for kind, n in left.items() if n > 0]))
+        if taken:
+            open_ = open_.where(~F.col("operation_id").isin(*[found for found, _ in taken]))
+        most = LOOK_AHEAD * (max(shared, 0) + sum(left.values()))
+        seen = open_.orderBy(*order).limit(most).collect()
+        for row in seen:
+            if any(row[key] is not None and row[key] in used[key] for key in keys):
+                continue
+            if left.get(row["type"], 0) > 0:
+                left[row["type"]] -= 1
+                slot = row["type"]
+            elif shared > 0:
+                shared, slot = shared - 1, "shared"
+            else:
+                continue
+            taken.append((row["operation_id"], slot))
+            for key in keys:
+                if row[key] is not None:
+                    used[key].add(row[key])
+        if len(seen) < most:
+            break
+    kind = tasks.schema["operation_id"].dataType.simpleString()
+    return tasks.join(F.broadcast(spark.createDataFrame(taken, f"operation_id {kind}, slot string")), "operation_id")
 
 
 def next_state(tasks: DataFrame, now: Column, most_retries: int, backoff_seconds: int = 60) -> DataFrame:

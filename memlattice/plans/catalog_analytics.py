@@ -10,6 +10,8 @@ from memlattice.operators import graph, lifecycle, retrieval
 from memlattice.operators.budget import pack, pack_sources
 from memlattice.plans import views
 from memlattice.plans.registry import query
+from memlattice.storage import scratch
+from memlattice.streaming import stateful
 
 D, E, L, P, H, S = views.DOCUMENTS, views.EVENTS, views.LINKS, views.POSTINGS, views.HITS, views.SEEDS
 
@@ -393,13 +395,15 @@ def _(t):
     return lifecycle.fold(sized, ["conv_id"], "turn", "size", 16, 600).select("conv_id", "turn")
 
 
-@query("t4_claimable", """WITH due AS (SELECT o_orderkey AS operation_id, o_custkey AS bank, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 500 END AS document, o_orderpriority AS type, CAST(left(o_orderpriority, 1) AS INTEGER) AS priority, o_orderdate AS created_at, o_orderstatus AS s FROM orders),
+@query("t4_claimable", """WITH RECURSIVE due AS (SELECT o_orderkey AS operation_id, o_custkey AS bank, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 500 END AS document, o_orderpriority AS type, CAST(left(o_orderpriority, 1) AS INTEGER) AS priority, o_orderdate AS created_at, o_orderstatus AS s FROM orders),
     busy AS (SELECT * FROM due WHERE s = 'P' AND operation_id % 4 = 0),
-    a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY priority, created_at, operation_id) AS r FROM due WHERE s = 'O' AND bank NOT IN (SELECT bank FROM busy)) WHERE r = 1),
-    b AS (SELECT * FROM (SELECT * EXCLUDE r, row_number() OVER (PARTITION BY document ORDER BY priority, created_at, operation_id) AS r FROM a WHERE document IS NULL OR document NOT IN (SELECT document FROM busy WHERE document IS NOT NULL)) WHERE r = 1 OR document IS NULL),
-    mine AS (SELECT operation_id, type AS slot FROM b WHERE type = '5-LOW' ORDER BY priority, created_at, operation_id LIMIT 5),
-    rest AS (SELECT operation_id, 'shared' AS slot FROM b WHERE operation_id NOT IN (SELECT operation_id FROM mine) ORDER BY priority, created_at, operation_id LIMIT 25)
-    SELECT * FROM mine UNION ALL SELECT * FROM rest""")
+    free AS MATERIALIZED (SELECT row_number() OVER (ORDER BY priority, created_at, operation_id) AS n, operation_id, bank, document, type FROM due
+        WHERE s = 'O' AND bank NOT IN (SELECT bank FROM busy) AND (document IS NULL OR document NOT IN (SELECT document FROM busy WHERE document IS NOT NULL))),
+    taken AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS operation_id, CAST(NULL AS VARCHAR) AS slot, CAST([] AS BIGINT[]) AS banks, CAST([] AS BIGINT[]) AS documents, 5 AS own, 25 AS shared
+        UNION ALL SELECT x.n, x.operation_id, x.slot, list_append(x.banks, x.bank), CASE WHEN x.document IS NULL THEN x.documents ELSE list_append(x.documents, x.document) END, x.own - CAST(x.slot <> 'shared' AS INTEGER), x.shared - CAST(x.slot = 'shared' AS INTEGER)
+        FROM (SELECT arg_min({'n': f.n, 'operation_id': f.operation_id, 'bank': f.bank, 'document': f.document, 'banks': t.banks, 'documents': t.documents, 'own': t.own, 'shared': t.shared, 'slot': CASE WHEN f.type = '5-LOW' AND t.own > 0 THEN f.type ELSE 'shared' END}, f.n) AS x
+            FROM taken t JOIN free f ON f.n > t.n AND NOT list_contains(t.banks, f.bank) AND NOT coalesce(list_contains(t.documents, f.document), false) AND (t.shared > 0 OR (f.type = '5-LOW' AND t.own > 0)) HAVING count(*) > 0))
+    SELECT operation_id, slot FROM taken WHERE n > 0""")
 def _(t):
     status = F.when(F.col("o_orderstatus") == "O", "pending").when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 4 == 0), "processing").otherwise("completed")
     document = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 500)
@@ -407,6 +411,44 @@ def _(t):
     return lifecycle.claimable(tasks, F.lit("1998-01-01").cast("timestamp_ntz"), ["bank", "document"], 25, {"5-LOW": 5}).select("operation_id", "slot")
 
 
+@query("t3_fold_runs", """WITH q AS (SELECT conv_id, turn, length(text) AS size, CASE WHEN turn % 5 <> 4 THEN 'a' END AS shape, conv_id % 6 AS tries, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
+    f AS (SELECT conv_id, shape AS first_shape, CAST(floor(16 / pow(2, tries)) AS INTEGER) AS width FROM q WHERE place = 1),
+    u AS (SELECT q.*, first_shape, width, sum(size) OVER (PARTITION BY conv_id ORDER BY turn) AS used, sum(CASE WHEN place > 1 AND (shape IS NULL OR first_shape IS NULL OR shape <> first_shape) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM q JOIN f USING (conv_id))
+    SELECT conv_id, turn, place FROM u WHERE place = 1 OR (other = 0 AND place <= width + 1 AND used <= 900)""")
+def _(t):
+    queue = t.conversations.select("conv_id", "turn", F.length("text").alias("size"), F.when(F.col("turn") % 5 != 4, "a").alias("shape"), (F.col("conv_id") % 6).alias("tries"))
+    return lifecycle.fold_runs(queue, ["conv_id"], ["turn"], "size", "shape", "tries", 16, 900).select("conv_id", "turn", F.col("place").cast("long").alias("place"))
+
+
+_OUTCOMES = """WITH e AS (SELECT 'u' || user_id || event_type AS key, event_id AS id, ts AS met, CAST(event_id % 3 AS VARCHAR) AS digest FROM events),
+    g AS (SELECT *, CASE WHEN lag(met) OVER w IS NULL OR met - lag(met) OVER w > INTERVAL 72 HOUR THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY key ORDER BY met, id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY met, id) AS stretch FROM g),
+    f AS (SELECT *, first_value(id) OVER w AS stored_id, first_value(digest) OVER w AS stored FROM s WINDOW w AS (PARTITION BY key, stretch ORDER BY met, id))
+    SELECT key, id, CASE WHEN fresh = 1 THEN 'stored' WHEN digest = stored THEN 'replayed' ELSE 'conflict' END AS state, stored_id FROM f"""
+
+
+def _keyed_events(events):
+    return events.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), "event_type").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 3).cast("string").alias("digest"))
+
+
+@query("t10_ledger_outcomes", _OUTCOMES)
+def _(t):
+    return lifecycle.ledger_outcomes(_keyed_events(t.events), 3 * 86_400)
+
+
+@query("s22_stream_ledger", _OUTCOMES)
+def _(t):
+    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").parquet(_as_folder(t))
+    return stateful.settled_stream(stateful.ledger_outcomes(_keyed_events(source), "40 days", 3 * 86_400), scratch(t.spark, "ledger"))
+
+
+def _as_folder(t):
+    """Events as a folder of files, a range of time each, so that they arrive in order."""
+    path = scratch(t.spark, "events")
+    t.events.repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(path)
+    return path
+
+
 @query("t7_retention", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
 def _(t):
     return lifecycle.retained(t.events, "ts", F.lit("2024-01-15").cast("timestamp_ntz")).select("event_id")
