@@ -137,3 +137,82 @@ def degrees(pairs: DataFrame) -> DataFrame:
 def budget_saved(df: DataFrame, key: str, used: str, full: int = 2400) -> DataFrame:
     saved = F.greatest(F.lit(0), full - F.least(F.col(used), F.lit(full)))
     return df.groupBy(key).agg(F.sum(saved).cast("long").alias("saved"), F.count("*").alias("n"))
+
+
+def _numbered(df: DataFrame, bank: str, kind: str, name: str) -> DataFrame:
+    """Rows by bank as a map of kinds, in order; null kinds count as an empty one."""
+    each = df.groupBy(F.col(bank).alias("bank_id"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("_kind")).agg(F.count("*").alias("_n"))
+    return each.groupBy("bank_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_kind", "_n")))).alias(name))
+
+
+def bank_stats(units: DataFrame, links: DataFrame, postings: DataFrame, operations: DataFrame, cap: int = 10) -> DataFrame:
+    """One row for each bank that has units or operations.
+
+    ``units``: unit_id, bank_id, kind, document_id, created_at, consolidated_at, failed_at;
+    ``links``: from_unit, link_type; ``postings``: unit_id, entity_id; ``operations``:
+    bank_id, status.  Maps count units by kind, links by type, by kind of their unit, and by kind and type
+    ("kind/type"); edges of an entity are its other units in the bank, ``cap`` at most.
+    Pending are units neither consolidated nor failed; observations need no consolidation.
+    Lists are of kinds and types, never of rows.
+    """
+    raw = F.col("kind") != "observation"
+    pending = F.count_if(raw & F.col("consolidated_at").isNull() & F.col("failed_at").isNull()).alias("pending_consolidation")
+    totals = units.groupBy("bank_id").agg(F.count("*").alias("nodes"), F.countDistinct("document_id").alias("documents"), F.count_if(F.col("kind") == "observation").alias("observations"), F.max("created_at").alias("last_write"), F.max("consolidated_at").alias("last_consolidated"), pending, F.count_if(raw & F.col("failed_at").isNotNull()).alias("failed_consolidation"))
+    where = units.select("unit_id", "bank_id", "kind")
+    linked = links.select(F.col("from_unit").alias("unit_id"), "link_type").join(where, "unit_id").withColumn("both", F.concat_ws("/", "kind", "link_type"))
+    shared = postings.join(where, "unit_id").groupBy("bank_id", "entity_id").agg(F.least(F.count("*") - 1, F.lit(cap)).alias("edges"))
+    shared = shared.groupBy("bank_id").agg(F.sum("edges").alias("entity_edges"))
+    out = totals.join(operations.select("bank_id").distinct(), "bank_id", "full")
+    for part in (_numbered(units, "bank_id", "kind", "nodes_by_kind"), _numbered(linked, "bank_id", "link_type", "links_by_type"), _numbered(linked, "bank_id", "kind", "links_by_kind"), _numbered(linked, "bank_id", "both", "links_by_kind_and_type"), shared, _numbered(operations, "bank_id", "status", "operations_by_status")):
+        out = out.join(part, "bank_id", "left")
+    numbers = ("nodes", "documents", "observations", "pending_consolidation", "failed_consolidation", "entity_edges")
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in numbers})
+
+
+#: Periods of charts: their days and the unit of their buckets.
+PERIODS = {"1d": (1, "hour"), "7d": (7, "day"), "30d": (30, "day")}
+
+
+def request_stats(requests: DataFrame, at: str, now: Column, period: str = "7d", *keys: str, failed: Column | None = None) -> DataFrame:
+    """Requests of the last ``period`` up to ``now`` by bucket and keys: number, failures; buckets without any are left out."""
+    if period not in PERIODS:
+        raise ValueError(f"period must be one of {', '.join(PERIODS)}")
+    days, unit = PERIODS[period]
+    inside = requests.where((F.col(at) > now - F.make_dt_interval(days=F.lit(days))) & (F.col(at) <= now))
+    failures = F.count_if(failed if failed is not None else F.lit(False))
+    return inside.groupBy(F.date_trunc(unit, at).cast("timestamp_ntz").alias("bucket"), *keys).agg(F.count("*").alias("n"), failures.alias("failures"))
+
+
+def topic_tree(members: DataFrame, assignment: DataFrame, leaves: DataFrame, roots: DataFrame) -> DataFrame:
+    """Topics of two levels over all members: ``topic_id``, ``level``, members, distinct documents, time range.
+
+    ``members``: unit_id, document_id, created_at, updated_at; ``assignment``: unit_id,
+    leaf; ``leaves``: leaf; ``roots``: root, leaf, where a leaf may hang below several
+    roots and then counts in each.  Units without an assignment to a known leaf are one
+    topic ``pending``.  Topics without members are left out.  Documents of a root are
+    counted over all its leaves, not added up.
+    """
+    known = assignment.join(leaves.select("leaf").distinct(), "leaf", "left_semi").select("unit_id", "leaf")
+    each = members.join(known, "unit_id", "left")
+    placed = each.where("leaf IS NOT NULL")
+    numbers = (F.count("*").alias("members"), F.countDistinct("document_id").alias("documents"), F.min("created_at").alias("start"), F.max("updated_at").alias("end"))
+    low = placed.groupBy(F.col("leaf").cast("string").alias("topic_id")).agg(*numbers).withColumn("level", F.lit("leaf"))
+    high = placed.join(roots.select("root", "leaf").distinct(), "leaf").groupBy(F.col("root").cast("string").alias("topic_id")).agg(*numbers).withColumn("level", F.lit("root"))
+    rest = each.where("leaf IS NULL").groupBy(F.lit("pending").alias("topic_id")).agg(*numbers).withColumn("level", F.lit("pending"))
+    return low.unionByName(high).unionByName(rest)
+
+
+def coverage(results: DataFrame, plan: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """For each query of ``plan`` (query_id, dimension) which required dimensions its ``results`` cover: ``covered``, ``missing``, ``complete``.
+
+    ``checks`` give an aggregate over a query's results for each known dimension; one
+    that is null or not known is missing.  A query without results misses all.
+    """
+    found = results.groupBy("query_id").agg(*[F.coalesce(test, F.lit(False)).alias(f"_c{n}") for n, test in enumerate(checks.values())])
+    names = F.array(*[F.when(F.col(f"_c{n}"), F.lit(name)) for n, name in enumerate(checks)]) if checks else F.array().cast("array<string>")
+    held = found.select("query_id", F.array_compact(names).alias("_held"))
+    asked = plan.where("dimension IS NOT NULL").groupBy("query_id").agg(F.array_sort(F.collect_set("dimension")).alias("_required"))
+    each = plan.select("query_id").distinct().join(asked, "query_id", "left").join(held, "query_id", "left")
+    none = F.array().cast("array<string>")
+    each = each.select("query_id", F.coalesce("_required", none).alias("_r"), F.coalesce("_held", none).alias("_h"))
+    return each.select("query_id", F.array_intersect("_r", "_h").alias("covered"), F.array_except("_r", "_h").alias("missing"), (F.size(F.array_except("_r", "_h")) == 0).alias("complete"))

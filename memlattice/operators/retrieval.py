@@ -277,3 +277,40 @@ def spread(entries: DataFrame, links: DataFrame, config: Config = DEFAULT, decay
         front = settled(place(first.join(reached, ["query_id", "unit_id"], "left_anti").select("query_id", "unit_id", "score")))
         reached = settled(reached.unionByName(front.select("query_id", "unit_id", "score", F.lit(turn).alias("round"))))
     return reached
+
+
+def prefer_observations(found: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best of a ranking (``query_id``, ``unit_id``, ``rank``) in which observations stand for what they were made from.
+
+    ``sources``: obs_id, unit_id.  A unit is left out if an observation among the query's
+    results has it as a source, and the next results take its place.  Only observations
+    that are returned themselves count: those among the ``most``, and those that move up
+    because of them.  Result: query_id, unit_id, ``rank`` from 1, and ``backfilled``,
+    whether the unit came from beyond ``most``.
+
+    An observation drops a unit when it ends up returned, that is when fewer than
+    ``most`` of the units before it stay; as this depends only on ranks before it, the
+    ranking is read once in order, query by query, and a query's ranking is as long as
+    its arms are deep.
+    """
+    units = sources.groupBy(F.col("obs_id").alias("unit_id")).agg(F.collect_set("unit_id").alias("_sources"))
+    each = found.join(units, "unit_id", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "_sources"))).alias("_all"))
+    none = F.array().cast(found.select(F.array("unit_id")).schema[0].dataType)
+    # Of the first places, as many as are needed for ``most`` that stay: longer prefixes only drop more.
+    held = F.aggregate(
+        F.sequence(F.lit(0), F.size("_all")), F.struct(F.least(F.lit(most), F.size("_all")).alias("upto"), none.alias("gone"), F.lit(False).alias("done")),
+        lambda s, _: F.when(s["done"], s).otherwise(_widened(s, most, none)),  # mostly done in two or three steps
+    )
+    each = each.withColumn("_held", held)
+    stays = F.filter(F.slice("_all", 1, F.greatest(F.col("_held.upto"), F.lit(1))), lambda r: ~F.array_contains(F.col("_held.gone"), r["unit_id"]))
+    out = each.select("query_id", F.posexplode(F.slice(stays, 1, most)))
+    return out.select("query_id", F.col("col.unit_id").alias("unit_id"), (F.col("pos") + 1).alias("rank"), (F.col("col.rank") > most).alias("backfilled"))
+
+
+def _widened(state: Column, most: int, none: Column) -> Column:
+    """A prefix of the ranking grown by as many places as its observations drop from it."""
+    head = F.slice("_all", 1, state["upto"])
+    gone = F.array_distinct(F.flatten(F.transform(head, lambda r: F.coalesce(r["_sources"], none))))
+    dropped = F.size(F.filter(head, lambda r: F.array_contains(gone, r["unit_id"])))
+    upto = F.least(F.size("_all"), dropped + most)
+    return F.struct(upto.alias("upto"), gone.alias("gone"), (upto == state["upto"]).alias("done"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from memlattice.functions import cron
+from memlattice.functions import cron, time_words
 from memlattice.operators import matching, retrieval, scope_limits, selection, windows
 from memlattice.plans.registry import Tables, query
 from memlattice.sources import appended, backup, transfer
@@ -226,3 +226,17 @@ def _(t):
     held = backup.restore(t.spark, path)
     placed = held["orders"].groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
     return held["customer"].join(placed, "c_custkey", "left").groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.sum("orders").alias("orders"))
+
+
+@query("date_time_windows", """WITH p AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 6 AS k, CAST(o_orderkey % 40 + 1 AS INTEGER) AS n FROM orders),
+    w AS (SELECT o_orderkey, CASE k WHEN 0 THEN date_trunc('month', d) WHEN 1 THEN d - n WHEN 2 THEN date_trunc('week', d) - INTERVAL 7 DAY WHEN 3 THEN d - to_months(n) WHEN 4 THEN make_date(year(d) - 1, 1, 1) END AS a,
+        CASE k WHEN 0 THEN last_day(d) WHEN 1 THEN d - n WHEN 2 THEN date_trunc('week', d) - INTERVAL 1 DAY WHEN 3 THEN d WHEN 4 THEN make_date(year(d) - 1, 12, 31) END AS b FROM p)
+    SELECT o_orderkey, CAST(a AS TIMESTAMP) AS low, CAST(b AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS high FROM w""")
+def _(t):
+    """Phrases about orders of five kinds, and texts without one, seen from each order's date."""
+    n, kind, day = (F.col("o_orderkey") % 40 + 1).cast("string"), F.col("o_orderkey") % 6, F.col("o_orderdate")
+    phrases = (F.concat(F.lit("What was spent in "), F.date_format(day, "MMMM yyyy")), F.concat(n, F.lit(" days ago, I think")), F.lit("Was kam letzte Woche?"), F.concat(F.lit("the last "), n, F.lit(" months")), F.concat(F.lit("en "), (F.year(day) - 1).cast("string")))
+    text = F.col("o_orderpriority")
+    for number, phrase in enumerate(phrases):
+        text = F.when(kind == number, phrase).otherwise(text)
+    return time_words.windows(t.orders.select("o_orderkey", text.alias("text"), day.alias("now"))).select("o_orderkey", "low", "high")

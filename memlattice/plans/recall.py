@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlattice.config import DEFAULT, Config
-from memlattice.functions import times
+from memlattice.functions import time_words, times
 from memlattice.functions.scoring import combined
 from memlattice.functions.texts import token_estimate
 from memlattice.operators import retrieval, windows
@@ -26,7 +26,10 @@ def hybrid(queries: DataFrame, units: DataFrame, links: DataFrame | None = None,
     ``postings`` (unit_id, entity_id); the temporal arm needs low, high and at, and
     spreads along links if there are any.  Result: query_id, unit_id, score, rank, and
     ``packed``, whether the unit is within the budget in rank order (the first is).
+    Queries that have ``now`` but no window get the one their text names, if it names one.
     """
+    if {"now", "text"} <= set(queries.columns) and not {"low", "high"} & set(queries.columns):
+        queries = time_words.windows(queries)
     timed = {"low", "high"} <= set(queries.columns) and "at" in units.columns
     similar = settled(retrieval.semantic(queries, units, depth, config.semantic_floor, keys=(), digits=6))
     arms = {"semantic": similar}

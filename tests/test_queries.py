@@ -6,7 +6,7 @@ from datetime import datetime
 
 import pytest
 
-from memlattice.plans import catalog_analytics, catalog_more, catalog_predicates, catalog_retrieval, catalog_structures  # noqa: F401
+from memlattice.plans import catalog_analytics, catalog_more, catalog_predicates, catalog_records, catalog_retrieval, catalog_structures  # noqa: F401
 from memlattice.plans.registry import ORACLE, QUERIES
 
 

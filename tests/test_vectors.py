@@ -1,6 +1,9 @@
 """Vector search over tables with missing, short and zero vectors, and over none."""
 
 import math
+from datetime import datetime
+
+from pyspark.sql import functions as F
 
 from memlattice.operators import retrieval, vectors
 from memlattice.plans.recall import hybrid
@@ -42,3 +45,12 @@ def test_recall_over_an_empty_bank(spark):
     queries, units = frames(spark, ODD, ASKED)
     assert hybrid(queries, units.limit(0)).count() == 0
     assert {r.unit_id for r in hybrid(queries, units).where("query_id = 'q'").collect()} >= {1, 6}
+
+
+def test_recall_takes_its_window_from_the_text(spark):
+    units = spark.createDataFrame([(n, "fact", [1.0, 0.1 * n], f"note {n}", 1, datetime(2024, n, 5)) for n in range(1, 9)], "unit_id long, kind string, embedding array<double>, text string, proof_count long, at timestamp_ntz")
+    asked = [("q", "what happened in March 2024", [1.0, 0.2], datetime(2024, 9, 1))]
+    queries = spark.createDataFrame(asked, "query_id string, text string, vector array<double>, now timestamp_ntz")
+    window = queries.select("*", F.lit(datetime(2024, 3, 1)).cast("timestamp_ntz").alias("low"), F.lit("2024-03-31 23:59:59.999999").cast("timestamp_ntz").alias("high"))
+    ours, given = ([tuple(r) for r in hybrid(q, units).orderBy("rank").collect()] for q in (queries, window))
+    assert ours == given and ours[0][1] == 3
