@@ -7,6 +7,7 @@ finds the first phrase.  Everything is column expressions; no text leaves the JV
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -59,26 +60,35 @@ VAGUE = {2: (3, 1), 3: (5, 2)}
 def lexicon(spark: SparkSession, locales: Sequence[str] = LOCALES) -> dict[str, tuple[str, int]]:
     """Words with kind and value; names of months and weekdays as the JVM spells them in each locale."""
     words = {word: key for key, held in WORDS.items() for word in held.split()}
-    for pattern, letter in (("MMMM", "m"), ("LLLL", "m"), ("EEEE", "w")):
-        days = [f"2024-{n:02d}-01" for n in range(1, 13)] if letter == "m" else [f"2024-01-{n:02d}" for n in range(1, 8)]
-        dates = spark.range(1).select(*[F.to_csv(F.struct(F.to_date(F.lit(day))), {"locale": locale, "dateFormat": pattern}).alias(f"{locale}_{n}") for locale in locales for n, day in enumerate(days, 1)])
-        for column, name in dates.first().asDict().items():  # 19 names a locale
-            for one in re.findall(r"\w+", name.lower())[:1]:
-                words.setdefault(one, (letter, int(column.rsplit("_", 1)[1])))
+    n = F.col("id").cast("int")
+    dates = (("MMMM", "m", F.make_date(F.lit(2024), n, F.lit(1))), ("LLLL", "m", F.make_date(F.lit(2024), n, F.lit(1))), ("EEEE", "w", F.make_date(F.lit(2024), F.lit(1), n)))
+    spelled = [F.to_csv(F.struct(date), {"locale": locale, "dateFormat": pattern}).alias(f"{letter}{k}{locale}") for k, (pattern, letter, date) in enumerate(dates) for locale in locales]
+    for row in spark.range(1, 13, 1, 1).select("id", *spelled).collect():  # twelve rows
+        for column, name in row.asDict().items():
+            if column != "id" and (column[0] == "m" or row.id <= 7):
+                for one in re.findall(r"\w+", name.lower())[:1]:
+                    words.setdefault(one, (column[0], row.id))
     return words
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row: the optimizer copies no expression past a generator."""
+    one = df.select("*", F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_once"))
+    return one.select("*", "_once.*").drop("_once")
+
+
 def windows(df: DataFrame, text: str = "text", now: str = "now", locales: Sequence[str] = LOCALES) -> DataFrame:
     """``df`` with ``low`` and ``high``, the first and last moment of the first time phrase of ``text``, seen from ``now``.
 
     "last week" is the calendar week before, from Monday; "last friday" the latest
     before today; "3 weeks ago" a day; "last 3 weeks" what lies between then and today;
     a month without a year the latest that has begun.  Both are null if there is no
-    phrase, no text, no ``now``, or no such day.
+    phrase, no text, no ``now``, or no such day; columns of these names are replaced.
     """
     words = lexicon(df.sparkSession, locales)
     entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.lit(value).alias("value"))
-    table = F.create_map(*[part for word, (kind, value) in sorted(words.items()) for part in (F.lit(word), entry(kind, value))])
+    spelled = json.dumps({word: {"kind": kind, "value": value} for word, (kind, value) in sorted(words.items())})
+    table = F.from_json(F.lit(spelled), "map<string,struct<kind:string,value:int>>")  # folded into one constant
     said = F.lower(F.col(text))
     for phrase, word in PHRASES.items():
         said = F.regexp_replace(said, rf"(?U)\b(?:{phrase})\b", f" {word} ")
@@ -93,14 +103,15 @@ def windows(df: DataFrame, text: str = "text", now: str = "now", locales: Sequen
 
     taken = F.filter(F.transform(tokens, known), lambda w: w["kind"] != "x")
     day = lambda c: c.cast("date")
-    each = df.withColumn("_words", taken).withColumn("_kinds", F.array_join(F.transform("_words", lambda w: w["kind"]), ""))
-    each = each.withColumn("_rule", F.regexp_extract("_kinds", f"({'|'.join(GRAMMAR)})", 1))
-    each = each.withColumn("_at", F.regexp_instr("_kinds", F.lit(f"({'|'.join(GRAMMAR)})")))
-    part = F.when(F.col("_rule") != "", F.slice("_words", F.col("_at"), F.length("_rule")))
-    each = each.withColumn("_part", part).withColumn("_today", day(F.col(now)))
+    rules = f"({'|'.join(GRAMMAR)})"
+    each = _once(df, _words=taken, _today=day(F.col(now)))
+    each = _once(each, _kinds=F.array_join(F.transform("_words", lambda w: w["kind"]), ""))
+    part = F.slice("_words", F.greatest(F.regexp_instr("_kinds", F.lit(rules)), F.lit(1)), F.length(F.regexp_extract("_kinds", rules, 1)))
+    each = _once(each, _rule=F.regexp_extract("_kinds", rules, 1), _part=part)
     value = lambda kind: F.get(F.filter("_part", lambda w: w["kind"] == kind), F.lit(0))["value"]
-    rule, today, unit, way = F.col("_rule"), F.col("_today"), value("u"), value("r")
-    number, vague, month, year, weekday = value("n"), value("f"), value("m"), value("y"), value("w")
+    each = _once(each, **{f"_{kind}": value(kind) for kind in "unrfmywd"}, _second=F.get("_part", F.lit(1))["value"], _third=F.get("_part", F.lit(2))["value"])
+    unit, number, way, vague, month, year, weekday, offset = (F.col(f"_{kind}") for kind in "unrfmywd")
+    rule, today = F.col("_rule"), F.col("_today")
     week, begin = day(F.date_trunc("week", today)), day(F.date_trunc("month", today))
 
     def moved(start: Column, n: Column) -> Column:
@@ -124,17 +135,19 @@ def windows(df: DataFrame, text: str = "text", now: str = "now", locales: Sequen
     near = F.when(way < 0, this_year - (month >= of_now).cast("int")).when(way > 0, this_year + (month <= of_now).cast("int")).when(way == 0, this_year).otherwise(this_year - (month > of_now).cast("int"))
     first = F.make_date(F.coalesce(year, near), month, F.lit(1))
     nth = F.when(number.between(1, F.day(F.last_day(first))), F.date_add(first, number - 1))
-    second, third = F.get("_part", F.lit(1))["value"], F.get("_part", F.lit(2))["value"]
+    second, third = F.col("_second"), F.col("_third")
     iso_first = F.when(second.between(1, 12), F.make_date(year, second, F.lit(1)))
     iso_day = F.when(third.between(1, F.day(F.last_day(iso_first))), F.date_add(iso_first, third - 1))
-    one = F.date_add(today, value("d"))
+    one = F.date_add(today, offset)
     low = F.lit(None).cast("date")
     high = low
-    for rules, a, b in (
+    for held, a, b in (
         (("bnfu", "nfug", "bnu", "bfu", "bu", "nug", "fug", "rug", "ug"), *ago), (("rnu", "rfu", "nru", "fru", "nur", "fur"), *rolling), (("ru", "ur"), *period), (("rw", "wr"), named_day, named_day),
         (("nmy", "mny", "nm", "mn", "imn"), nth, nth), (("imy", "rmy", "my", "im", "rm", "mr"), first, F.last_day(first)), (("ynn",), iso_day, iso_day),
         (("iy",), F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31))), (("d",), one, one),
     ):
-        low, high = F.when(rule.isin(*rules), a).otherwise(low), F.when(rule.isin(*rules), b).otherwise(high)
+        low, high = F.when(rule.isin(*held), a).otherwise(low), F.when(rule.isin(*held), b).otherwise(high)
+    each = _once(each, _low=low, _high=high)
+    low, high = F.col("_low"), F.col("_high")
     each = each.withColumns({"low": low.cast("timestamp_ntz"), "high": high.cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(1)) - F.make_dt_interval(secs=F.lit("0.000001").cast("decimal(18,6)"))})
-    return each.drop("_words", "_kinds", "_rule", "_at", "_part", "_today")
+    return each.select(*[c for c in df.columns if c not in ("low", "high")], "low", "high")

@@ -29,7 +29,7 @@ def hybrid(queries: DataFrame, units: DataFrame, links: DataFrame | None = None,
     Queries that have ``now`` but no window get the one their text names, if it names one.
     """
     if {"now", "text"} <= set(queries.columns) and not {"low", "high"} & set(queries.columns):
-        queries = time_words.windows(queries)
+        queries = settled(time_words.windows(queries))  # read by every arm
     timed = {"low", "high"} <= set(queries.columns) and "at" in units.columns
     similar = settled(retrieval.semantic(queries, units, depth, config.semantic_floor, keys=(), digits=6))
     arms = {"semantic": similar}
