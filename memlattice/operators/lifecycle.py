@@ -186,13 +186,26 @@ def retained(df: DataFrame, at: str, cutoff: Column) -> DataFrame:
     return df.where(F.col(at).isNull() | (F.col(at) >= cutoff))
 
 
-def scopes(df: DataFrame, mode: str, tags: str = "tags") -> DataFrame:
+#: Most tags of a row for all their combinations, which are 2 ** 16 rows then.
+MOST_COMBINED = 16
+
+
+def scopes(df: DataFrame, mode: str, tags: str = "tags", given: str = "scopes") -> DataFrame:
     """The scopes each row belongs to, as sorted tag arrays in ``scope``.
 
     ``combined``: all its tags; ``per_tag``: each; ``all_combinations``: every set of
-    them; ``shared``: the empty one.
+    them, an error beyond ``MOST_COMBINED`` tags; ``shared``: the empty one;
+    ``explicit``: those of its column ``given``, an array of tag arrays, each once: if
+    that is null the combined one, if it is empty none.  Null tags are left out, and a
+    row without tags is in the empty scope.
     """
-    held = F.array_sort(F.array_distinct(F.coalesce(F.col(tags), F.array().cast("array<string>"))))
+    if mode not in ("combined", "per_tag", "all_combinations", "shared", "explicit"):
+        raise ValueError(f"no such mode of scopes: {mode}")
+    sets_of = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<string>")))))
+    held = sets_of(F.col(tags))
+    if mode == "explicit":
+        named = F.array_distinct(F.transform(F.col(given), sets_of))
+        return df.withColumn("scope", F.explode(F.coalesce(named, F.array(held))))
     if mode == "combined":
         return df.withColumn("scope", held)
     if mode == "shared":
@@ -200,7 +213,8 @@ def scopes(df: DataFrame, mode: str, tags: str = "tags") -> DataFrame:
     if mode == "per_tag":
         one = F.transform(held, lambda t: F.array(t))
         return df.withColumn("scope", F.explode(F.when(F.size(held) > 0, one).otherwise(F.array(held))))
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(held)) - 1).cast("int"))
+    many = F.raise_error(F.lit(f"all combinations of more than {MOST_COMBINED} tags")).cast("int")
+    masks = F.sequence(F.lit(1), F.when(F.size(held) > MOST_COMBINED, many).otherwise((F.pow(F.lit(2), F.size(held)) - 1).cast("int")))
     sets = F.transform(masks, lambda m: F.filter(held, lambda t, i: F.shiftright(m, 0).bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0))
     return df.withColumn("scope", F.explode(F.when(F.size(held) > 0, sets).otherwise(F.array(held))))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlattice.operators import aggregates as agg
-from memlattice.operators import processes, retrieval
+from memlattice.operators import lifecycle, processes, retrieval
 from memlattice.plans import views
 from memlattice.plans.registry import Tables, query
 
@@ -142,3 +142,12 @@ def _(t):
     near = order.select("query_id", F.col("unit_id").alias("obs_id"), F.explode(F.sequence(F.col("rank") - 2, F.col("rank") + 3)).alias("rank")).where("obs_id % 3 = 0")
     sources = near.join(order.select("query_id", "rank", "unit_id"), ["query_id", "rank"]).where("unit_id % 3 <> 0").select("obs_id", "unit_id")
     return retrieval.prefer_observations(order, sources, 10)
+
+
+@query("c3_scopes_explicit", f"""WITH d AS (SELECT unit_id, CASE WHEN unit_id % 4 = 0 THEN NULL WHEN unit_id % 4 = 1 THEN [[kind, bank_id], [bank_id, kind], ['all']] WHEN unit_id % 4 = 2 THEN [[]] ELSE [] END AS scopes, tags FROM {views.DOCUMENTS})
+    SELECT DISTINCT unit_id, array_to_string(list_sort(scope), ',') AS scope FROM (SELECT unit_id, unnest(coalesce(scopes, [coalesce(tags, [])])) AS scope FROM d)""")
+def _(t):
+    some = F.array(F.array("kind", "bank_id"), F.array("bank_id", "kind"), F.array(F.lit("all")))
+    k, none = F.col("unit_id") % 4, F.array().cast("array<array<string>>")
+    given = F.when(k == 1, some).when(k == 2, F.array(F.array().cast("array<string>"))).when(k == 3, none)
+    return lifecycle.scopes(views.documents(t).withColumn("scopes", given), "explicit").select("unit_id", F.array_join("scope", ",").alias("scope"))

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from memlattice.operators import aggregates, processes, retrieval
+from memlattice.operators import aggregates, lifecycle, processes, retrieval
 
 SHAPE = "record_id string, kind string, maturity string, outcome string, sources array<string>, verified boolean, traits array<string>, context string, rollout_state string, drift_status string, experiment_id string, text string, updated_at timestamp"
 DAY = datetime(2024, 1, 1)
@@ -98,3 +98,15 @@ def test_coverage_of_unknown_dimensions(spark):
     results = spark.createDataFrame([("q", 5), ("q", None)], "query_id string, n int")
     found = {r.query_id: (r.covered, r.missing, r.complete) for r in aggregates.coverage(results, plan, {"big": F.max("n") > 3}).collect()}
     assert found == {"q": (["big"], ["strange"], False), "r": ([], [], True), "s": ([], ["big"], False)}
+
+
+def test_scopes_named_and_bounded(spark):
+    rows = spark.createDataFrame([(1, ["b", None, "a"], [["y", "x"], ["x", "y"], None]), (2, ["b", "a"], None), (3, None, None), (4, ["a"], [])], "id int, tags array<string>, scopes array<array<string>>")
+    found = sorted((r.id, tuple(r.scope)) for r in lifecycle.scopes(rows, "explicit").collect())
+    assert found == [(1, ()), (1, ("x", "y")), (2, ("a", "b")), (3, ())]
+    wide = spark.createDataFrame([([f"t{n}" for n in range(17)],)], "tags array<string>")
+    assert lifecycle.scopes(wide.select(F.slice("tags", 1, 16).alias("tags")), "all_combinations").count() == 65535
+    with pytest.raises(Exception, match="more than 16 tags"):
+        lifecycle.scopes(wide, "all_combinations").collect()
+    with pytest.raises(ValueError):
+        lifecycle.scopes(rows, "every")
