@@ -2,9 +2,10 @@
 
 A rolling hash over every two line hashes in a row names the gap between two lines, so
 what is decided there depends on these two lines alone and no line before or behind
-shifts it.  Two lines stay together if they stand together in more than half the places
-of either; what stays together is a run.  A run is cut in two further ways: where the
-rolling hash hits one value in ``ROLLING``, and where its gap is met another number of
+shifts it.  Lines joined by gaps that are met more than once are a run; so are those
+among them joined by gaps that are met in more than half the places of either line,
+which leave a frequent line out.  Both kinds of runs are cut in two further ways: where
+the rolling hash hits one value in ``ROLLING``, and where a gap is met another number of
 times than the one before, so that shortened and lengthened copies share chunks.
 
 A run goes if an earlier place holds the same lines whole as a chunk, and so does a
@@ -41,12 +42,13 @@ def line_pairs(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
 
 
 def _together(lines: DataFrame) -> DataFrame:
-    """``h``, ``nh``, ``both``, ``cut``: repeated pairs that stay together, how often they do, and whether the rolling hash cuts there nevertheless."""
+    """``h``, ``nh``, ``both``, ``most``, ``cut``: repeated pairs, how often they are met, whether that is in most places of either line, and whether the rolling hash cuts there nevertheless."""
     # Tables of their own, so that a frequent line is summed where it is and its join can be split.
     single = materialized(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "lines-counted")
     pairs = lines.where("nh is not null").groupBy("h", "nh").agg(F.count("*").alias("both")).where("both > 1")
     pairs = pairs.join(single, "h").join(single.select(F.col("h").alias("nh"), F.col("n").alias("m")), "nh")
-    return materialized(pairs.where("2 * both > n and 2 * both > m").select("h", "nh", "both", (F.pmod(F.xxhash64("h", "nh"), F.lit(ROLLING)) == 0).alias("cut")), "together")
+    most = F.expr("2 * both > n and 2 * both > m").alias("most")
+    return materialized(pairs.select("h", "nh", "both", most, (F.pmod(F.xxhash64("h", "nh"), F.lit(ROLLING)) == 0).alias("cut")), "together")
 
 
 def _chunks(gaps: DataFrame, *alike: str) -> DataFrame:
@@ -65,17 +67,21 @@ def _place() -> Column:
 def repeats(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
     """Chunks that occurred before, by hash, and (``gone`` false) their first places: ``doc_id``, ``_text``, ``start``, ``n``, ``key``, ``gone``."""
     lines = materialized(line_pairs(docs, long_line), "lines")
-    gaps = materialized(lines.where("nh is not null").join(_together(lines), ["h", "nh"]).select("doc_id", "_text", "i", "h", "nh", "both", "cut"), "gaps")
+    gaps = materialized(lines.where("nh is not null").join(_together(lines), ["h", "nh"]).select("doc_id", "_text", "i", "h", "nh", "both", "most", "cut"), "gaps")
+    most = gaps.where("most")
     long = lines.where("long").select("doc_id", "_text", F.col("i").alias("start"), F.lit(1).alias("n"), F.xxhash64(F.array("h")).alias("key"))
-    runs = _chunks(gaps).withColumn("run", F.lit(True))
-    parts = _chunks(gaps.where("not cut")).unionByName(_chunks(gaps, "both")).unionByName(long)
+    runs = _chunks(gaps).unionByName(_chunks(most)).withColumn("run", F.lit(True))
+    parts = long
+    for some in (gaps, most):
+        parts = parts.unionByName(_chunks(some.where("not cut"))).unionByName(_chunks(some, "both"))
     every = runs.unionByName(parts.withColumn("run", F.lit(False)))
     every = materialized(every.groupBy("doc_id", "_text", "start", "n", "key").agg(F.max("run").alias("run")), "chunks")
     first = every.groupBy("key", "n").agg(F.min(_place()).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     seen = materialized(every.join(materialized(first, "first-places"), ["key", "n"]).withColumn("gone", ~_place().eqNullSafe(F.col("first"))), "seen")
     # Of a run that goes as a whole, no part is asked for once more.
-    whole = seen.where("run and gone").select("doc_id", "_text", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("start")).withColumn("whole", F.lit(True))
-    held = [F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("s._text") == F.col("w._text"), F.col("s.start") == F.col("w.start")]
+    end = F.col("start") + F.col("n")
+    whole = seen.where("run and gone").select("doc_id", "_text", end.alias("end"), F.explode(F.sequence("start", end - 1)).alias("start"))
+    held = [F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("s._text") == F.col("w._text"), F.col("s.start") == F.col("w.start"), F.expr("s.start + s.n <= w.end")]
     parts = seen.where("gone and not run").alias("s").join(whole.alias("w"), held, "left_anti").select("s.*")
     going = materialized(seen.where("run and gone").unionByName(parts), "going")
     stay = going.select("first.*", "n", "key").distinct().withColumn("gone", F.lit(False))
