@@ -5,17 +5,22 @@ similarity of ``SIMILAR`` or more.  At that similarity a fingerprint's bits diff
 a chance of 15 %, too far for the budgets of a few bits of ``simhash``, so the search
 is in three steps:
 
-1. A 128-bit fingerprint is laid out as several rings, each in an order of its own and
-   cut into segments.  A pair whose segment differs in no bit, the first link of a
-   chain within budget, and whose whole fingerprints differ in at most ``MOST`` bits,
-   joins a candidate group.
+1. Pigeonring: a 128-bit fingerprint is a ring of 16 segments.  If two differ in at most
+   t bits, some segment starts a chain round the ring in which the first l segments
+   together differ in at most floor(l * t / 16), for every l.  At t = 10 that is
+   0, 1, 1: from that start one segment is equal and so is one of the next two, which are
+   the two index keys of each start.  What meets under a key joins a candidate group if
+   the chain from there is within the budgets of t = ``MOST`` at every length.  Pairs of
+   more than 10 differing bits meet by chance, so several rings hold the bits in orders
+   of their own.
 2. In each group, texts are compared by their shingles; a tree of links connects what
    is similar, so that a group of copies has as many links as texts and not all pairs.
 3. The connected texts are a class.
 
-Segments get longer, and rings more, with the number of texts (``layout``), which keeps
-what meets under one key small.  Recall is a matter of chance in step 1 only: about
-98 of 100 pairs at the lowest similarity meet, more above it (README).  No key or group
+Keys get longer, and rings more, with the number of texts (``rings``), which keeps what
+meets under one key small; the longer keys take the two parts from more segments of the
+chain and are sure up to fewer bits.  Recall is a matter of chance in step 1 only and
+about the same at all sizes (``expected_recall``, README).  No key or group
 is cut short: large ones are dealt into tiles, and every two tiles meet in a task.
 """
 
@@ -29,37 +34,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlattice.llm.common import arrow_rows, guarded, materialized, text_or_empty
+from memlattice.llm.common import arrow_rows, guarded, materialized, remove, scratch, text_or_empty
 from memlattice.llm.components import connected
 from memlattice.llm.shingles import hashes_by_text, mix
 from memlattice.llm.tiles import dealt, hot_keys
 from memlattice.llm.word_ids import grouped
 
 WORDS, SIMILAR = 5, 0.8
-BITS = 128
+BITS, SEGMENTS = 128, 16
+WIDTH = BITS // SEGMENTS
+#: Parts of the segments behind the first of a chain, of which one is equal.
+PARTS = 2
 #: Bits in which fingerprints of similar texts differ at most: three standard deviations over the mean at SIMILAR.
 MOST = 33
+#: Bits in which the first l segments of a chain may differ.
+BUDGET = np.array([length * MOST // SEGMENTS for length in range(1, SEGMENTS + 1)])
 #: Texts under one key that meet by chance, at most, and the members and shingles of a tile.
 BY_CHANCE, TILE, TILE_SHINGLES = 16, 4096, 4_000_000
+#: Rings whose keys are on disk at a time.
+ROUND = 4
 
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def layout(texts: int) -> list[list[int]]:
-    """The bits of each segment of all rings, for a number of texts.
+def rings(texts: int) -> tuple[int, list[np.ndarray]]:
+    """The bits of a key and the orders of bits of all rings, for a number of texts.
 
-    A segment has 16 bits or more, so many that at most BY_CHANCE unrelated texts share
-    one; segments are as many as find a similar pair five times on average.
+    A key has 16 bits or more, so many that at most BY_CHANCE unrelated texts share one;
+    rings are as many as keep the recall of similar pairs while keys get longer.
     """
     width = 16
     while texts >> width > BY_CHANCE and width < 64:
         width += 4
-    segments, out = 4 << (width // 4), []
     draw = np.random.default_rng(11)
-    while len(out) < segments:
-        ring = draw.permutation(BITS).tolist()
-        out += [ring[k : k + width] for k in range(0, BITS - width + 1, width)]
-    return out[:segments]
+    return width, [draw.permutation(BITS) for _ in range(math.ceil(3 * 2.8 ** ((width - 16) / 4)))]
+
+
+def turns(ring: np.ndarray) -> Iterator[np.ndarray]:
+    """The bits of a ring from each of its segments on: the order in which a chain meets them."""
+    for start in range(SEGMENTS):
+        yield np.roll(ring, -start * WIDTH)
+
+
+def parts(width: int) -> list[np.ndarray]:
+    """The places in a turn of the ring that make up each of its keys: the first segment and one of the parts that follow."""
+    size = width - WIDTH
+    return [np.r_[0:WIDTH, WIDTH + k * size : WIDTH + (k + 1) * size] for k in range(PARTS)]
+
+
+def layout(texts: int) -> list[list[int]]:
+    """The bits of each key, for a number of texts."""
+    width, orders = rings(texts)
+    return [turn[part].tolist() for ring in orders for turn in turns(ring) for part in parts(width)]
 
 
 def tree(n: int, near: Near, side: np.ndarray | None = None, step: int = 64, walks: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -163,19 +189,26 @@ def majority(shingles: np.ndarray, step: int = 1 << 16) -> np.ndarray:
     return np.packbits(2 * ones > len(shingles)).view(np.int64)
 
 
-def _keyed(segments: list[list[int]]):
-    bits, weights = np.array(segments), (np.uint64(1) << np.arange(len(segments[0]), dtype=np.uint64))
-    seeds = np.arange(len(segments), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+def _keyed(width: int, orders: list[np.ndarray], first: int):
+    """The keys of each fingerprint in rings numbered from ``first``, with its bits in the order of the chain that begins there."""
+    weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, lo, hi = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            ring = np.unpackbits(np.stack([lo, hi], axis=1).view(np.uint8).reshape(len(node), -1), axis=1)
-            for start in range(0, len(bits), 16):
-                part = bits[start : start + 16]
-                key = mix((ring[:, part].astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64) ^ seeds[start : start + 16]).view(np.int64)
-                every = [np.repeat(x, len(part)) for x in (node, lo, hi)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *map(pa.array, every)], names=["key", "node", "lo", "hi"])
+            bits = np.unpackbits(np.stack([lo, hi], axis=1).view(np.uint8).reshape(len(node), -1), axis=1)
+            number = first * SEGMENTS * PARTS
+            for ring in orders:
+                found = []
+                for turn in turns(ring):
+                    chain = bits[:, turn]
+                    whole = np.ascontiguousarray(np.packbits(chain, axis=1)).view(np.int64)
+                    for part in parts(width):
+                        seed = np.uint64(number * 0xD6E8FEB86659FD93 % 2**64)
+                        key = mix((chain[:, part].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) ^ seed).view(np.int64)
+                        found.append((key, node, whole[:, 0], whole[:, 1]))
+                        number += 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "node", "lo", "hi"])
 
     return run
 
@@ -203,8 +236,12 @@ def _edges(node: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(node[left]), pa.array(node[right])], names=["a", "b"])
 
 
-def _apart(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(lo.view(np.uint64)).astype(np.int64) + np.bitwise_count(hi.view(np.uint64))
+def _within(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether chains are within budget at every length, the last of which is the whole ring; ``lo``, ``hi``: differing bits in the order of the chain."""
+    held = np.bitwise_count(lo.view(np.uint64)) <= BUDGET[SEGMENTS // 2 - 1]  # half the ring, which most unrelated pairs fail
+    some = np.stack([lo[held], hi[held]], axis=-1).view(np.uint8)
+    held[held] = np.all(np.cumsum(np.bitwise_count(some), axis=-1, dtype=np.int64) <= BUDGET, axis=-1)
+    return held
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,14 +255,14 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few = np.repeat(sizes <= 8, sizes)
         for lag in range(1, min(8, int(sizes.max()))):
             pair = np.flatnonzero(few[lag:] & np.all(rows[lag:, :3] == rows[:-lag, :3], axis=1) & ((rows[lag:, 2] == rows[:-lag, 1]) | (rows[lag:, 3] != rows[:-lag, 3])))
-            pair = pair[_apart(rows[pair, 5] ^ rows[pair + lag, 5], rows[pair, 6] ^ rows[pair + lag, 6]) <= MOST]
+            pair = pair[_within(rows[pair, 5] ^ rows[pair + lag, 5], rows[pair, 6] ^ rows[pair + lag, 6])]
             if len(pair):
                 yield _edges(rows[:, 4], pair, pair + lag)
         for start, size in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
             some = rows[start : start + size]
             lo, hi = some[:, 5].copy(), some[:, 6].copy()
             side = None if some[0, 1] == some[0, 2] else some[:, 3]
-            yield _edges(some[:, 4], *tree(size, lambda few, asked: _apart(lo[few, None] ^ lo[asked], hi[few, None] ^ hi[asked]) <= MOST, side))  # noqa: B023
+            yield _edges(some[:, 4], *tree(size, lambda few, asked: _within(lo[few, None] ^ lo[asked], hi[few, None] ^ hi[asked]), side))  # noqa: B023
 
     for batch in batches:
         whole = np.concatenate([whole, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
@@ -241,12 +278,21 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(distinct: DataFrame, texts: int, tile: int = TILE) -> DataFrame:
     """``node``, ``root``: groups in which texts may be similar, for distinct ``node``, ``lo``, ``hi``; lone texts are left out."""
     spark = distinct.sparkSession
-    arrow_rows(spark, 4096)
-    keyed = materialized(distinct.select("node", "lo", "hi").mapInArrow(_keyed(layout(texts)), "key long, node long, lo long, hi long"), "keys")
-    arrow_rows(spark, 20_000)
-    rows = dealt(keyed, "key", hot_keys(keyed, "key", F.ceil(F.count("*") / tile))).select("key", "x", "y", "side", "node", "lo", "hi")
-    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "node")
-    roots = connected(rows.mapInArrow(_meetings, "a long, b long"))
+    width, orders = rings(texts)
+    links = None
+    for k in range(0, len(orders), ROUND):
+        arrow_rows(spark, 4096)
+        path, columns = scratch(spark, "keys"), "key long, node long, lo long, hi long"
+        distinct.select("node", "lo", "hi").mapInArrow(_keyed(width, orders[k : k + ROUND], k), columns).write.parquet(path)
+        found = spark.read.schema(columns).parquet(path)
+        arrow_rows(spark, 20_000)
+        rows = dealt(found, "key", hot_keys(found, "key", F.ceil(F.count("*") / tile))).select("key", "x", "y", "side", "node", "lo", "hi")
+        rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "node").mapInArrow(_meetings, "a long, b long")
+        if len(orders) > ROUND:  # the keys go before the next ones are written
+            rows = materialized(rows, "links")
+            remove(spark, path)
+        links = rows if links is None else links.union(rows)
+    roots = connected(links)
     return roots.union(roots.select("root", "root").distinct())
 
 
@@ -306,8 +352,15 @@ def dedup(docs: DataFrame, tile: int = TILE) -> DataFrame:
     return named(stay.dropDuplicates(["doc_id", "_node"]).drop("_node"))
 
 
-def expected_recall(similarity: float, texts: int) -> float:
-    """The chance that a pair of that similarity meets under a key, its bits taken as independent."""
-    segments = layout(texts)
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return 1 - (1 - (1 - differ) ** len(segments[0])) ** len(segments)
+def expected_recall(similarity: float, texts: int, pairs: int = 4096) -> float:
+    """The share of pairs of that similarity that meet, their bits drawn independently, through the keys and the chains."""
+    width, orders = rings(texts)
+    differ = np.random.default_rng(3).random((pairs, BITS)) < math.acos(2 * similarity / (1 + similarity)) / math.pi
+    met = np.zeros(pairs, dtype=bool)
+    for turn in (turn for ring in orders for turn in turns(ring)):
+        left = np.flatnonzero(~met)
+        left = left[~differ[np.ix_(left, turn[:WIDTH])].any(axis=1)]
+        chain = differ[np.ix_(left, turn)]
+        keyed = np.any([~chain[:, part].any(axis=1) for part in parts(width)], axis=0)
+        met[left[keyed]] = _within(*np.ascontiguousarray(np.packbits(chain[keyed], axis=1)).view(np.int64).T.copy())
+    return float(met.mean())
