@@ -59,3 +59,7 @@ def _without_pairs(name, spark, sf_dir, duck, monkeypatch):
 
 def test_overlaps_make_no_pairs(spark, sf_dir, duck, monkeypatch):
     _without_pairs("f9_many_overlaps", spark, sf_dir, duck, monkeypatch)
+
+
+def test_window_counts_make_no_pairs(spark, sf_dir, duck, monkeypatch):
+    _without_pairs("j11_many_windows", spark, sf_dir, duck, monkeypatch)
