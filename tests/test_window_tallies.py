@@ -9,6 +9,7 @@ from test_queries import compare
 from test_windows import START, both, moments, windows_of
 
 from memlattice.operators import windows
+from memlattice.operators.retrieval import ranked
 from memlattice.plans.registry import ORACLE, QUERIES
 
 def crowded(draw, n):
@@ -63,3 +64,19 @@ def test_overlaps_make_no_pairs(spark, sf_dir, duck, monkeypatch):
 
 def test_window_counts_make_no_pairs(spark, sf_dir, duck, monkeypatch):
     _without_pairs("j11_many_windows", spark, sf_dir, duck, monkeypatch)
+
+
+def test_best_of_windows(spark):
+    draw = random.Random(6)
+    for held, at in ((windows_of(draw, 100), moments(draw, 300)), crowded(draw, 100)):
+        points = [(k, m, draw.choice(["a", "b", None]), draw.choice([None, float("nan"), 1.0, *(draw.random() for _ in range(9))])) for k, m in enumerate([*at, None])]
+        frame = spark.createDataFrame(points, "point int, at timestamp_ntz, kind string, score double")
+        pairs = windows.holding(both(spark, held, ("w", "low", "high")), frame)
+        for most in (1, 4, 60):
+            rows = [tuple(r) for r in windows.best(both(spark, held, ("w", "low", "high")), frame, "w", "kind", "score", "point", most).collect()]
+            expected = [tuple(r) for r in ranked(pairs, ["w", "kind"], F.desc("score"), F.asc("point"), most=most, name="k").select("w", "kind", "point", "k").collect()]
+            assert len(rows) == len(set(rows)) and set(rows) == set(expected)
+
+
+def test_pools_make_no_pairs(spark, sf_dir, duck, monkeypatch):
+    _without_pairs("r12_window_pools", spark, sf_dir, duck, monkeypatch)
