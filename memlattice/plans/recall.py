@@ -34,7 +34,7 @@ def hybrid(queries: DataFrame, units: DataFrame, links: DataFrame | None = None,
     similar = settled(retrieval.semantic(queries, units, depth, config.semantic_floor, keys=(), digits=6))
     arms = {"semantic": similar}
     frequencies = retrieval.document_frequencies(units, wanted=retrieval.query_terms(queries))
-    arms["keyword"] = retrieval.keyword(retrieval.selective_terms(queries, frequencies, config.keyword_terms), units, depth, config=config)
+    arms["keyword"] = retrieval.keyword(retrieval.selective_terms(queries, frequencies, config.keyword_terms), units, depth, config=config, counted=True)
     if links is not None and postings is not None:
         seeds = similar.where((F.col("score") >= config.seed_floor) & (F.col("rank") <= config.seeds)).select("query_id", "unit_id")
         of = lambda kind: links.where(F.col("link_type") == kind).select("from_unit", "to_unit", "weight")
