@@ -101,3 +101,8 @@ def no_pairs(shown):
 def test_keyword_topk_makes_no_pairs(spark, sf_dir, duck):
     compare(QUERIES["r3_keyword_topk"](spark, sf_dir), duck, ORACLE["r3_keyword_topk"])
     no_pairs(plan(QUERIES["r3_keyword_topk"](spark, sf_dir)))
+
+
+def test_weighted_selection_makes_no_pairs(spark, sf_dir, duck):
+    compare(QUERIES["r31_weighted_selection"](spark, sf_dir), duck, ORACLE["r31_weighted_selection"])
+    no_pairs(plan(QUERIES["r31_weighted_selection"](spark, sf_dir)))
