@@ -106,3 +106,8 @@ def test_keyword_topk_makes_no_pairs(spark, sf_dir, duck):
 def test_weighted_selection_makes_no_pairs(spark, sf_dir, duck):
     compare(QUERIES["r31_weighted_selection"](spark, sf_dir), duck, ORACLE["r31_weighted_selection"])
     no_pairs(plan(QUERIES["r31_weighted_selection"](spark, sf_dir)))
+
+
+def test_process_search_makes_no_pairs(spark, sf_dir, duck):
+    compare(QUERIES["x4_process_search"](spark, sf_dir), duck, ORACLE["x4_process_search"])
+    no_pairs(plan(QUERIES["x4_process_search"](spark, sf_dir)))
