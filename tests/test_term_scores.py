@@ -111,3 +111,11 @@ def test_weighted_selection_makes_no_pairs(spark, sf_dir, duck):
 def test_process_search_makes_no_pairs(spark, sf_dir, duck):
     compare(QUERIES["x4_process_search"](spark, sf_dir), duck, ORACLE["x4_process_search"])
     no_pairs(plan(QUERIES["x4_process_search"](spark, sf_dir)))
+
+
+def test_preference_rank_makes_no_pairs(spark, sf_dir, duck, monkeypatch):
+    compare(QUERIES["r30_preference_rank"](spark, sf_dir), duck, ORACLE["r30_preference_rank"])
+    monkeypatch.setattr(retrieval, "COMMON", 50)  # with rarer terms, which are joined
+    frame = QUERIES["r30_preference_rank"](spark, sf_dir)
+    compare(frame, duck, ORACLE["r30_preference_rank"])
+    no_pairs(plan(frame))
