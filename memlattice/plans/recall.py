@@ -9,7 +9,7 @@ from memlattice.config import DEFAULT, Config
 from memlattice.functions import time_words, times
 from memlattice.functions.scoring import combined
 from memlattice.functions.texts import token_estimate
-from memlattice.operators import retrieval, windows
+from memlattice.operators import retrieval
 from memlattice.operators.budget import pack
 from memlattice.storage import settled
 
@@ -68,10 +68,10 @@ def temporal(queries: DataFrame, units: DataFrame, links: DataFrame | None, dept
     Entry points score by their nearness to the middle of the window.
     """
     window = queries.where("low IS NOT NULL AND high IS NOT NULL").select("query_id", "vector", "low", "high")
-    dated = units.where(retrieval.usable("embedding")).select("unit_id", "kind", "embedding", "at")
-    inside = windows.holding(window.where(retrieval.usable("vector")), dated).where(F.size("vector") == F.size("embedding"))
-    inside = inside.withColumn("similarity", F.round(retrieval.cosine(F.col("vector"), F.col("embedding")), 6)).where(F.col("similarity") >= config.temporal_floor)
-    pool = retrieval.ranked(inside, ["query_id", "kind"], F.desc("similarity"), F.asc("unit_id"), most=config.temporal_pool, name="k")
+    # Vectors meet in blocks, and only the best of a query, a kind and a block leave them.
+    near = retrieval.nearest(window, units, config.temporal_pool, config.temporal_floor, keys=("kind",), digits=6, timed=True).withColumnRenamed("score", "similarity")
+    pool = retrieval.ranked(near, ["query_id", "kind"], F.desc("similarity"), F.asc("unit_id"), most=config.temporal_pool, name="k")
+    pool = pool.join(units.select("unit_id", "at"), "unit_id").join(window.select("query_id", "low", "high"), "query_id")
     share = (times.micros(F.col("at")) - times.micros(F.col("low"))) / F.greatest(times.micros(F.col("high")) - times.micros(F.col("low")), F.lit(1))
     bucket = F.least(F.floor(share * config.temporal_buckets), F.lit(config.temporal_buckets - 1))
     picks = retrieval.coverage(pool, ["query_id", "kind"], bucket, config.temporal_picks)
