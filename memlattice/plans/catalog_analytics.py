@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memlattice.functions.texts import token_estimate
 from memlattice.operators import aggregates as agg
-from memlattice.operators import graph, lifecycle, retrieval
+from memlattice.operators import entities, graph, lifecycle, retrieval
 from memlattice.operators.budget import pack, pack_sources
 from memlattice.plans import views
 from memlattice.plans.registry import query
@@ -262,8 +262,7 @@ def _(t):
 
 @query("j15_case_insensitive_join", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON lower(a.p_name) = lower(b.p_name) AND a.p_partkey < b.p_partkey")
 def _(t):
-    side = lambda n: t.part.select(F.col("p_partkey").alias(n), F.lower("p_name").alias("name"))
-    return side("a").join(side("b"), "name").where("a < b").select("a", "b")
+    return entities.equal_names(t.part, "p_partkey", "p_name")
 
 
 @query("j17_either_key", f"SELECT DISTINCT e1, e2, n FROM {_PAIRS} WHERE e1 IN (1, 2, 3) OR e2 IN (1, 2, 3)")
